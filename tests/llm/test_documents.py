@@ -1,0 +1,138 @@
+"""Per-document operators against plain Python, on driver rows and hand-made rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from itertools import accumulate
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from boxwright.llm import main_text, pii, piece_codec, quality, registry, token_shards
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ROWS = [
+    (1, None), (2, ""), (3, " "), (4, "a"), (5, "a b c d e a b c d e f"), (6, "x\n\nx\n x\nx"), (7, "x " * 30), (8, "a b c d e f g h i j k\xa0l m"),
+    (9, "mail a.b@c.de, x@y z@@a.b.c 1.2.3.4 1.2.3.4.5.6 999.1.1.1 01.2.3.004"), (10, "4539 1488 0343 6467 and 4539148803436468 +49 (30) 1234-5678 +1-2-3"),
+    (11, "IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789 or 123-45-6789"), (12, "▁a  b   c\t\n    d 🎉é́ <s></s> <|endoftext|>"), (13, "word " * 5000 + "unbroken" * 4000), (4, "a"), (None, "null id"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    made = spark.createDataFrame(ROWS, "doc_id long, text string")
+    given = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    return made.union(given).withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit(None).cast("string")).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def equal(df, expected):
+    assert Counter(map(tuple, df.collect())) == Counter(expected)
+
+
+def test_pieces(docs, rows):
+    path = public_tokenizers.path(registry.PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    expected = [(d, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for d, t in rows for ids in [sp.encode(t)]]
+    equal(piece_codec.encode_digests(docs, path), expected)
+    both = piece_codec.encode(docs, path).collect()
+    assert {"n_words", "kept", "piece_ids", "piece_text"} <= set(both[0].asDict())
+    assert all(r.piece_ids == sp.encode(r.text or "") for r in both)
+
+
+def measures(text):
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)}
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality(docs, rows):
+    got = quality.quality_digests(docs)
+    assert not any(r.kept and r.base_failed for r in got.select("kept", "base_failed").collect())
+    equal(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), [(d, *measures(t)) for d, t in rows])
+
+
+def test_quality_keeps_rows_and_cuts_lines(spark):
+    good = "This line has quite enough words to be kept as it is.\nAnd a second one follows here."
+    bad = "home | news | sport | more | about\nBUY!! NOW!! IT!! IS!! CHEAP!! GO!!\n$$$ win ### money &&& today *** now\nok then"
+    df = spark.createDataFrame([(1, good, "x"), (2, bad, "y"), (3, good + "\nhome | a | b | c", None)], "doc_id long, text string, kept string")
+    assert sorted((r.doc_id, r.kept) for r in quality.keep_good(df).collect()) == [(1, "x"), (3, None)]
+    assert [r.text for r in quality.clean_lines(df).orderBy("doc_id").collect()] == [good, "ok then", good]
+    assert quality.keep_good(df.limit(0)).columns == df.columns
+
+
+def plain_spans(text):
+    """The base rules as plain regular expressions."""
+    out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(digits(m[0])[::-1])) % 10 == 0]
+    out += [("phone", m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1][0], ["email", "ip", "card", "phone"].index(s[0])))
+
+
+def test_personal_data(docs, rows):
+    write = lambda s: ",".join(f"{k}:{a}:{b}" for k, (a, b) in s)
+    expected = [(d, *(sum(k == x for x, _ in s) for k in ("email", "ip", "card", "phone")), hashlib.sha256(write(s).encode()).hexdigest()) for d, t in rows for s in [plain_spans(t)]]
+    got = pii.find_digests(docs).cache()
+    equal(got.drop("spans"), expected)
+    spans = {r.doc_id: r.spans for r in got.collect()}
+    assert spans[11] == "iban:5:32,ssn:37:48,ssn:52:63" or spans[11].startswith("iban:5:32")
+    assert pii.redacted("to a@b.cd now") == "to <EMAIL> now" and pii.redacted(None) is None
+    assert pii.redact(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_personal_data_random(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("0123456789...@@+-- ()ab%"), int(rng.integers(0, 40))))
+        assert [(k, (a, b)) for a, k, b in pii.base_spans(text)] == plain_spans(text)
+
+
+def test_token_shards(docs, rows):
+    path = public_tokenizers.path(registry.BYTES)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for _, x in ordered]
+    starts = [0, *accumulate(map(len, ids))]
+    expected = [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), s, i in zip(ordered, starts, ids, strict=False)]
+    equal(token_shards.write_and_read(docs, path, 2), expected)
+    assert token_shards.write_and_read(docs.limit(0), path, 2).count() == 0
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="search-page">
+    <nav><a href=/>Menu</a></nav><div class="ad">Buy</div><div id=cookie-notice>Cookies</div><aside>Side</aside>
+    <article><h1>Head &amp; line</h1><p><b>One<br><p>Two   words
+    here &#233;<form><input value=x>Form</form><p>A <a href="x">link</a>ed.<div class="comments"><p>Nice!</div></article><footer>&copy; x</footer></body></html>"""
+    assert main_text.main_text(page) == "Head & line One Two words here é A linked."
+    for odd in (None, "", "<", "<p", "</p>", "<!-- x", "<script>", "a<b", "<div" * 500, '<a href="' * 300):
+        assert isinstance(main_text.main_text(odd), str)
+    plain = "<body><div><p>" + "Long text goes here. " * 20 + "</p><p>" + "More of that text. " * 20 + "</p></div><div><a href=a>x</a><a href=b>y</a></div></body>"
+    assert main_text.main_text(plain).startswith("Long text") and not main_text.main_text(plain).endswith("y")
+
+
+def test_pages_equal_their_article(spark):
+    """In the driver's pages the main text is the article element's."""
+    import html
+
+    for r in registry.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        assert r.text == " ".join(html.unescape(re.sub(r"<(?!/?b\b)[^>]*>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+        assert r.n_chars == len(r.text)
