@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def shingles(words: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most so many bytes of text; a longer text comes alone."""
-    at = np.cumsum(np.concatenate([[0], np.asarray(batch.column(column).cast(pa.large_string()).fill_null("").value_lengths() if hasattr(pa.Array, "value_lengths") else pa.compute.binary_length(batch.column(column).fill_null("")), np.int64)]))
+    at = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(batch.column(column).fill_null("")), np.int64)]))
     row = 0
     while row < batch.num_rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)

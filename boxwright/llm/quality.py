@@ -75,4 +75,5 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns unchanged."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return measured(docs, F.col("text"), [whole]).filter("kept").select("__k0.*")
+    # the row number keeps the filter above: below, it would evaluate each measure within the next one's functions
+    return measured(docs, F.col("text"), [whole]).withColumn("__row", F.monotonically_increasing_id()).filter("kept and __row >= 0").select("__k0.*")

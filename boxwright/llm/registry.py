@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import chat, main_text, pii, piece_codec, quality, token_shards
+from boxwright.llm import chat, decontaminate, main_text, near_dup, pii, piece_codec, quality, token_shards
 from boxwright.llm.common import shipped
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -31,6 +31,14 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), END_ID)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(_table(spark, sf_dir, "conversations"))
 
@@ -39,5 +47,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op4_personal_data, op5_token_shards, op9_chat_rotation, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op4_personal_data, op5_token_shards, op6_near_duplicates, op8_decontamination, op9_chat_rotation, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}
