@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, as Java and Python regular expressions both read it.
@@ -82,8 +83,16 @@ def lookup(left: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return hit.unionByName(rest)
 
 
-def digest64(*columns: Column | str) -> Column:
-    return F.xxhash64(*columns)
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = 32):
+    """Arrow batches of so few rows while a job with large rows runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 # ---------------------------------------------------------------- words of Arrow batches, in numpy
@@ -173,7 +182,7 @@ def shingles(words: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.
     return out, bounds
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most so many bytes of text; a longer text comes alone."""
     at = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(batch.column(column).fill_null("")), np.int64)]))
     row = 0

@@ -19,9 +19,22 @@ def _star(edges: DataFrame, both: bool, total: int) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _oriented(edges: DataFrame) -> DataFrame:
+    return staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+
+
+def nearer(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, root) after so many rounds: nodes of one root are linked, but linked nodes may still differ."""
+    now = _oriented(edges)
+    for _ in range(rounds):
+        large = staged(_star(now, True, now.count()), "large")
+        now = staged(_star(large, False, large.count()), "small")
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the least node that it is linked to."""
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    now = _oriented(edges)
     before = None
     for _ in range(ROUNDS):
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()

@@ -8,10 +8,12 @@ only up to the time by which all components are surely met (later if one is not)
 hardly depends on its weights.
 
 Texts that agree on one of BANDS bands of ROWS components meet in a bucket. Equal texts count once there.
-In a bucket, members are compared with one hub, twice; then all pairs whose members are still in different
-components. Pairs within a component are never listed, so a group of copies gives a star, yet no compared
-pair is spared that could join two classes. A pair is linked at an exact multiset Jaccard of SIMILARITY or
-more. Recall of one pair at 0.8 is 1-(1-0.8**ROWS)**BANDS > 0.999.
+In a bucket, members are compared with one hub, the one that meets most others. Where that leaves several
+classes, shingles that no other such text has bound each text's similarity from above; what can still be
+similar is compared in blocks of about BLOCK texts, which give the links between different classes alone.
+So a group of copies gives a star, no list of all its pairs is made, and no pair is spared that could join
+two classes. A pair is linked at an exact multiset Jaccard of SIMILARITY or more. Recall of one pair at 0.8
+is 1-(1-0.8**ROWS)**BANDS > 0.999.
 
 Cases: null, empty and wordless texts are alone in their class, equal or not. A text of fewer words than
 WIDTH has one shingle of all its words. Rows with the same doc_id are one document of all those texts for
@@ -28,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import lookup, mix64, shingles, slices, staged, text_buffers, word_hashes
-from boxwright.llm.graph import components
+from boxwright.llm.common import few_rows, lookup, mix64, shingles, slices, staged, text_buffers, word_hashes
+from boxwright.llm.graph import components, nearer
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 20
 COMPONENTS = ROWS * BANDS
 SLACK = 6.0
+#: Documents in a block, about; two blocks of a bucket are compared in one row.
+BLOCK = 64
+#: So many document ids may be broadcast to pick their texts (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
 
@@ -149,49 +155,131 @@ def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.select(["a", "b"]).filter(hit)
 
 
+def _sized(ids: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id), which go by broadcast up to BROADCAST_IDS."""
+    ids = staged(ids.distinct(), "wanted")
+    return docs.select("doc_id", "text").join(_sized(ids, ids.count()), "doc_id", "left_semi")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    used = _texts(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+    a = used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links")
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, w): each distinct shingle of a text with its weight, and the total weight with h null."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            hashes, bounds = shingles(*word_hashes(*text_buffers(batch.column("text"))), WIDTH)
+            t, h, w = weighted(hashes, bounds)
+            n = batch.num_rows
+            some = np.concatenate([np.zeros(len(h), bool), np.ones(n, bool)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate([t, np.arange(n)]))), pa.array(np.concatenate([h.view(np.int64), np.zeros(n, np.int64)]), mask=some), pa.array(np.concatenate([w, np.diff(bounds)]).astype(np.int64))], ["doc_id", "h", "w"])
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """(doc_id, size, shared): the weight of a text's shingles, and of those that another text has too.
+
+    A text shares no more than that with any other, which bounds its similarity from above.
+    """
+    rows = staged(texts.mapInArrow(_own, "doc_id long, h long, w long"), "own")
+    lone = rows.filter("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.sum("w").alias("w")).filter("n = 1").groupBy("doc_id").agg(F.sum("w").alias("lone"))
+    return rows.filter("h is null").groupBy("doc_id").agg(F.max("w").alias("size")).join(lone, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different roots in two blocks of a bucket (or one: right is null), for each
+    text one for each root that it meets."""
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            sides = [x for x in (r["left"], r["right"]) if x]
+            docs = [d for side in sides for d in side]
+            hashes, bounds = shingles(*word_hashes(*text_buffers(pa.array([d["text"] for d in docs]))), WIDTH)
+            t, h, w = weighted(hashes, bounds)
+            roots = np.array([d["root"] for d in docs])
+            n, cut = len(docs), len(sides[0]) if len(sides) > 1 else 0
+            both = _overlaps(t, h, w, n)
+            size = np.bincount(t, w, n)
+            near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
+            near &= roots[:, None] != roots[None, :]
+            if cut:
+                near[:cut, :cut] = near[cut:, cut:] = False
+            a, b = np.nonzero(np.triu(near & (both > 0)))
+            found += {(docs[i]["doc_id"], roots[j]): (docs[i]["doc_id"], docs[j]["doc_id"]) for i, j in zip(a, b, strict=True)}.values()
+        yield pa.RecordBatch.from_arrays([pa.array([int(min(x)) for x in found], pa.int64()), pa.array([int(max(x)) for x in found], pa.int64())], ["a", "b"])
+
+
+def _overlaps(t: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The multiset overlap of each two of n texts."""
+    names, at = np.unique(h, return_inverse=True)
+    out = np.zeros((n, n), np.float32)
+    used = np.bincount(at, minlength=len(names)) > 1  # what one text alone has overlaps with nothing
+    place = np.cumsum(used) - 1
+    on = used[at]
+    for level in range(1, int(w[on].max(initial=0)) + 1):  # min(x, y) counts the levels that both reach
+        reach = on & (w >= level)
+        if not reach.any():
+            break
+        cols, col = np.unique(place[at[reach]], return_inverse=True)
+        row = t[reach]
+        for a in range(0, len(cols), 4096):
+            some = (col >= a) & (col < a + 4096)
+            has = np.zeros((n, min(4096, len(cols) - a)), np.float32)
+            has[row[some], col[some] - a] = 1
+            out += has @ has.T
+    return out
+
+
 def _regrouped(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """crowd with root brought up to date by roots (node, root) of roots."""
+    """crowd with root replaced by the root that roots (node, root) has for it, if any."""
     return crowd.withColumnRenamed("root", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
+def _open(crowd: DataFrame, count: str | None = None) -> DataFrame:
+    """The rows of buckets whose members have several roots; count names a column for the bucket's rows."""
+    apart = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n", F.col("n").alias("__rows"))
+    found = lookup(crowd, apart, "key", "n", crowd.count()).filter("__rows is not null")
+    return staged(found.withColumnRenamed("__rows", count) if count else found.drop("__rows"), "open")
+
+
+def _hubs(crowd: DataFrame, *more: str) -> DataFrame:
+    """(key, hub, n): of each bucket the member of the highest rank, with more of its columns, and its rows."""
+    return crowd.groupBy("key").agg(F.max(F.struct("rank", "doc_id", *more)).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_copies (documents in the class), one row for each doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text", F.length("text")))
     known = docs.filter("doc_id is not null")
     marked = staged(known.mapInArrow(_buckets, "key long, digest long, doc_id long").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id")), "buckets")
-    counted = marked.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    crowd = staged(lookup(marked.select("key", "doc_id"), counted, "key", "n", marked.count()).filter("hub is not null"), "crowd").withColumn("root", F.col("doc_id"))
-    texts = staged(known.select("doc_id", "text").join(crowd.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-
-    # members against the least member, then against another one, then all that could still join two classes
-    tested = crowd.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verify(tested, texts)
-    edges = [links]
-    roots = staged(components(links), "roots")
-    crowd = staged(_regrouped(crowd.drop("hub"), roots), "crowd")
-    for last in (False, True):
-        apart = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "root")).alias("hub")).filter("low <> high")
-        split = crowd.join(apart.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.root").alias("hub_root")), "key")
-        if last:
-            other = crowd.select("key", F.col("doc_id").alias("b"), F.col("root").alias("root_b"))
-            found = split.select(F.col("key").alias("k"), F.col("doc_id").alias("a"), "root").join(other, (F.col("k") == F.col("key")) & (F.col("root") < F.col("root_b")))
-            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            found = split.filter("root <> hub_root").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        fresh = staged(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        links = _verify(fresh, texts)
-        edges.append(links)
-        if not last:
-            side = crowd.select("doc_id", "root").distinct()
-            across = links.join(side.withColumnsRenamed({"doc_id": "a", "root": "ra"}), "a").join(side.withColumnsRenamed({"doc_id": "b", "root": "rb"}), "b")
-            crowd = staged(_regrouped(crowd, components(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")))), "crowd")
+    counted = marked.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("met", F.col("n"))
+    crowd = staged(lookup(marked.select("key", "doc_id"), counted, "key", "n", marked.count()).filter("met is not null"), "crowd")
+    texts = staged(_texts(known, crowd.select("doc_id")), "texts")
+
+    # members against the one that meets most others over all its buckets
+    hubs = _hubs(crowd.join(crowd.groupBy("doc_id").agg(F.sum("met").alias("rank")), "doc_id"))
+    met = lookup(crowd.select("key", "doc_id"), hubs, "key", "n", crowd.count()).filter("doc_id <> hub.doc_id")
+    tested = staged(met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "pairs")
+    edges = [_verify(tested, texts)]
+    crowd = _open(_regrouped(crowd.select("key", "doc_id", F.col("doc_id").alias("root")), nearer(edges[0])))
+
+    # where several roots are left, all that can be similar, in blocks
+    bounds = _shared(_texts(texts, crowd.select("doc_id")))
+    crowd = _open(staged(crowd.join(bounds, "doc_id").filter(f"shared >= {SIMILARITY} * size - 1e-9"), "able"), "rows")
+    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / BLOCK)))
+    blocks = staged(dealt.join(texts, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "root", "text")).alias("docs"), F.min("root").alias("low"), F.max("root").alias("high")), "blocks")
+    one = blocks.filter("low <> high").select(F.col("docs").alias("left"), F.lit(None).cast(blocks.schema["docs"].dataType).alias("right"))
+    other = blocks.select("key", F.col("block").alias("__block"), F.col("docs").alias("right"), F.col("low").alias("__low"), F.col("high").alias("__high"))
+    two = blocks.join(other, "key").filter("block < __block and (low <> high or __low <> __high or low <> __low)").select(F.col("docs").alias("left"), "right")
+    with few_rows(docs.sparkSession):
+        edges.append(staged(one.unionByName(two).mapInArrow(_across, "a long, b long").distinct(), "links"))
 
     # equal texts, which met as one, and documents of several texts
     worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "digest")
