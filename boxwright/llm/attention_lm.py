@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import shingles, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import lowered, shingles, slices, staged, text_buffers, word_hashes
 from boxwright.llm.token_shards import encoder, vocabulary
 
 HOLD, HELD = 5, 1
@@ -54,10 +54,6 @@ def _held(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % HOLD == HELD for x in ids.to_pylist()], bool)
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    return pa.compute.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
-
-
 # ---------------------------------------------------------------- words
 
 

@@ -101,6 +101,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: ASCII capitals to small letters, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _POWERS = {"n": 0}
 
 
@@ -135,6 +138,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw, at - at[0]
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in ASCII lower case, nulls as empty texts. (Arrow's ascii_lower misreads slices of large strings.)"""
+    raw, at = text_buffers(column)
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(LOWER[raw]))
+
+
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of all texts, and the number of words before each text."""
     n = len(raw)

@@ -25,8 +25,6 @@ from boxwright.llm.common import lookup, mix64, slices, staged, text_buffers, wo
 
 MIN_WORDS = 20
 UNITS = "digest long, doc_id long, place long, start int, end int, n_words int"
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x21, 0x2E, 0x3F]] = True
 _U = np.uint64
@@ -46,7 +44,7 @@ def units(column: pa.Array) -> tuple[np.ndarray, ...]:
     starts, ends, before = word_spans(raw, at)
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    words = _folded(common._BYTE[_LOWER[raw]], starts, ends)
+    words = _folded(common._BYTE[common.LOWER[raw]], starts, ends)
     lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     text = np.repeat(np.arange(len(at) - 1), np.diff(before))
@@ -94,7 +92,7 @@ def versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = text_buffers(batch.column("text"))
         starts, ends, before = word_spans(raw, at)
-        words = _folded(common._BYTE[_LOWER[raw]], starts, ends) if len(starts) else np.zeros(0, _U)
+        words = _folded(common._BYTE[common.LOWER[raw]], starts, ends) if len(starts) else np.zeros(0, _U)
         whole = _folded(mix64(words), before[:-1], before[1:])
         yield batch.append_column("__version", pa.array((whole >> _U(33)).astype(np.int64)))
 

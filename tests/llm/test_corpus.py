@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxwright.llm import decontaminate, graph, near_dup
-from boxwright.llm.common import shingles, text_buffers, word_hashes
+from boxwright.llm.common import lowered, shingles, text_buffers, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +54,15 @@ def test_word_hashes():
     assert list(np.diff(bounds)) == [sum(grams(t).values()) for t in texts]
 
 
+def test_lowered_slices():
+    column = pa.array(["AÀb", None, "ÉéZ", "", "xY"])
+    want = ["aÀb", "", "Ééz", "", "xy"]
+    for kind in (pa.string(), pa.large_string()):
+        for a in range(5):
+            for n in range(6 - a):
+                assert lowered(column.cast(kind).slice(a, n)).to_pylist() == want[a : a + n]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 60).astype(np.uint64)
