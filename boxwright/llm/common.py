@@ -67,20 +67,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """left, left-joined with table (unique by key; count says how many rows of left have the key).
+def lookup(left: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """left, joined (how: left or inner) with table, which is unique by key and goes to the shared folder.
 
-    Keys with at least total / HOT_SHARE rows go by broadcast; there are at most HOT_SHARE of them, as
-    the counts add up to total. The others are joined by a shuffle in which no key can be large.
+    count says how many rows of left, at least, have the key; left has total rows. Keys with at least
+    total / HOT_SHARE rows go by broadcast: there are at most HOT_SHARE of them, as the counts add up to
+    total. The others are joined by a shuffle in which no key can be large.
     """
     bound = max(2, -(-total // HOT_SHARE))
     values = [c for c in table.columns if c not in (key, count)]
-    hot = table.filter(F.col(count) >= bound).select(key, *(F.col(c).alias(f"__hot_{c}") for c in values), F.lit(True).alias("__hot"))
-    marked = left.join(F.broadcast(hot), key, "left")
+    table = staged(table, "table")
+    hot = [r[0] for r in table.filter(F.col(count) >= bound).select(key).collect()]
     cold = table.filter(F.col(count) < bound).select(key, *values)
-    hit = marked.filter("__hot").select(*left.columns, *(F.col(f"__hot_{c}").alias(c) for c in values))
-    rest = marked.filter("__hot is null").select(*left.columns).join(cold, key, "left").select(*left.columns, *values)
-    return hit.unionByName(rest)
+    if not hot:
+        return left.join(cold, key, how).select(*left.columns, *values)
+    among = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    hit = left.filter(among).join(F.broadcast(table.filter(F.col(count) >= bound).select(key, *values)), key)
+    rest = left.filter(~among).join(cold, key, how)
+    return hit.select(*left.columns, *values).unionByName(rest.select(*left.columns, *values))
 
 
 @contextlib.contextmanager
@@ -191,12 +195,12 @@ def shingles(words: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.
     return out, bounds
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most so many bytes of text; a longer text comes alone."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most so many rows and bytes of text; a longer text comes alone."""
     at = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(batch.column(column).fill_null("")), np.int64)]))
     row = 0
     while row < batch.num_rows:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        end = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1))
         yield batch.slice(row, end - row)
         row = end
 

@@ -14,7 +14,7 @@ def _star(edges: DataFrame, both: bool, total: int) -> DataFrame:
     """Edges (a > b). Large star (both): larger neighbours go to the least of all; small star: smaller ones."""
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
     least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    met = lookup(pairs, least, "a", "n", total * (2 if both else 1)).withColumn("m", F.least("a", "m"))
+    met = lookup(pairs, least, "a", "n", total * (2 if both else 1), "inner").withColumn("m", F.least("a", "m"))
     moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if both else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
     return moved.filter("a <> b").distinct()
 

@@ -39,6 +39,8 @@ COMPONENTS = ROWS * BANDS
 SLACK = 6.0
 #: Documents in a block, about; two blocks of a bucket are compared in one row.
 BLOCK = 64
+#: Texts whose signatures are made at once; each takes some COMPONENTS * (log COMPONENTS + SLACK) points.
+TEXTS = 512
 #: So many document ids may be broadcast to pick their texts (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -114,7 +116,7 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", rows=TEXTS):
             raw, at = text_buffers(batch.column("text"))
             words, before = word_hashes(raw, at)
             hashes, bounds = shingles(words, before, WIDTH)
@@ -245,7 +247,7 @@ def _regrouped(crowd: DataFrame, roots: DataFrame) -> DataFrame:
 def _open(crowd: DataFrame, count: str | None = None) -> DataFrame:
     """The rows of buckets whose members have several roots; count names a column for the bucket's rows."""
     apart = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n", F.col("n").alias("__rows"))
-    found = lookup(crowd, apart, "key", "n", crowd.count()).filter("__rows is not null")
+    found = lookup(crowd, apart, "key", "n", crowd.count(), "inner")
     return staged(found.withColumnRenamed("__rows", count) if count else found.drop("__rows"), "open")
 
 
@@ -260,12 +262,12 @@ def classes(docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id is not null")
     marked = staged(known.mapInArrow(_buckets, "key long, digest long, doc_id long").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id")), "buckets")
     counted = marked.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("met", F.col("n"))
-    crowd = staged(lookup(marked.select("key", "doc_id"), counted, "key", "n", marked.count()).filter("met is not null"), "crowd")
+    crowd = staged(lookup(marked.select("key", "doc_id"), counted, "key", "n", marked.count(), "inner"), "crowd")
     texts = staged(_texts(known, crowd.select("doc_id")), "texts")
 
     # members against the one that meets most others over all its buckets
     hubs = _hubs(crowd.join(crowd.groupBy("doc_id").agg(F.sum("met").alias("rank")), "doc_id"))
-    met = lookup(crowd.select("key", "doc_id"), hubs, "key", "n", crowd.count()).filter("doc_id <> hub.doc_id")
+    met = lookup(crowd.select("key", "doc_id"), hubs, "key", "n", crowd.count(), "inner").filter("doc_id <> hub.doc_id")
     tested = staged(met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "pairs")
     edges = [_verify(tested, texts)]
     crowd = _open(_regrouped(crowd.select("key", "doc_id", F.col("doc_id").alias("root")), nearer(edges[0])))
@@ -284,12 +286,12 @@ def classes(docs: DataFrame) -> DataFrame:
     # equal texts, which met as one, and documents of several texts
     worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "digest")
     copies = worded.groupBy("digest").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).filter("n > 1")
-    same = lookup(worded, staged(copies, "copies"), "digest", "n", worded.count()).filter("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    same = lookup(worded, copies, "digest", "n", worded.count(), "inner").filter("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     for e in edges:
         same = same.unionByName(e)
     roots = components(same)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    sized = lookup(roots, staged(sizes.withColumn("n_copies", F.col("n")), "sizes"), "root", "n", roots.count()).withColumnRenamed("node", "doc_id")
+    sized = lookup(roots, sizes.withColumn("n_copies", F.col("n")), "root", "n", roots.count(), "inner").withColumnRenamed("node", "doc_id")
     ids = docs.select("doc_id").distinct()
     return ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).cast("long").alias("n_copies"))
 

@@ -72,8 +72,8 @@ def runs(docs: DataFrame) -> DataFrame:
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = staged(ids.mapInArrow(_units, UNITS), "units")
     met = every.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = lookup(every, staged(met, "met"), "digest", "n", every.count())
-    later = found.filter("first is not null and (doc_id <> first.doc_id or place <> first.place)").select("doc_id", "place", "start", "end", "n_words").distinct()
+    found = lookup(every, met, "digest", "n", every.count(), "inner")
+    later = found.filter("(doc_id <> first.doc_id or place <> first.place)").select("doc_id", "place", "start", "end", "n_words").distinct()
     numbered = later.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
     grouped = numbered.groupBy("doc_id", "run").agg(F.min("place").alias("place"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n"), F.count("*").alias("n_units"))
     return grouped.filter(F.col("n") >= MIN_WORDS).select("doc_id", F.shiftright("place", 32).alias("version"), "start", "end", "n_units")
