@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
 import tempfile
 import uuid
@@ -22,12 +21,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 2000
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, about; a larger row comes alone.
+BATCH_BYTES = 4 << 20
+#: Workers give freed memory back at once, as several of them share an executor's memory.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """The session, whose Python workers find this package where the driver has it (else: --py-files)."""
+    """The session, whose Python workers find this package where the driver has it (else: --py-files).
+
+    It also bounds Arrow batches by BATCH_BYTES, unless the session has a smaller bound.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     return spark
 
 
@@ -87,18 +100,6 @@ def lookup(left: DataFrame, table: DataFrame, key: str, count: str, total: int,
     return hit.select(*left.columns, *values).unionByName(rest.select(*left.columns, *values))
 
 
-@contextlib.contextmanager
-def few_rows(spark: SparkSession, rows: int = 32):
-    """Arrow batches of so few rows while a job with large rows runs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 # ---------------------------------------------------------------- words of Arrow batches, in numpy
 
 _IS_SPACE = np.zeros(256, bool)

@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Encoded units that a Python worker keeps; beyond it the older half goes.
-KEEP_UNITS = 600_000
+KEEP_UNITS = 200_000
+#: Tested pairs of tokens that it keeps.
+KEEP_PAIRS = 300_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -52,7 +54,7 @@ class PieceCodec:
         inside = any(MARK in p.lstrip(MARK) for p in self.ids)
         newline = any("\n" in p and len(p) > 1 for p in self.ids)
         self.units = re.compile(r"(?s).+" if inside else rf"(?s){MARK}+[^{MARK}]*|[^{MARK}]+" if newline else rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by first id * 2**32 + second id
         self.whole: dict[int, bool] = {}
         self.ends: dict[int, tuple] = {}
         self.young: dict[str, tuple[int, ...]] = {}
@@ -139,11 +141,11 @@ class PieceCodec:
                 if before < 0:
                     good = self.alone(token)
                 else:
-                    good = fits.get((before, token))
+                    good = fits.get(pair := before << 32 | token)
                     if good is None:
-                        if len(fits) >= 1_000_000:
+                        if len(fits) >= KEEP_PAIRS:
                             fits.clear()
-                        good = fits[before, token] = self.compatible(before, token)
+                        good = fits[pair] = self.compatible(before, token)
                 if good:
                     last[at], size[at] = token, length
         back = []
