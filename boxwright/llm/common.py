@@ -23,8 +23,8 @@ HOT_SHARE = 2000
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, about; a larger row comes alone.
 BATCH_BYTES = 4 << 20
-#: Workers give freed memory back at once, as several of them share an executor's memory.
-WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+#: Workers keep little freed memory, as several of them share an executor's memory.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 
 def shipped(spark: SparkSession) -> SparkSession:

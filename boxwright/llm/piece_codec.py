@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Encoded units that a Python worker keeps; beyond it the older half goes.
-KEEP_UNITS = 200_000
+KEEP_UNITS = 500_000
 #: Tested pairs of tokens that it keeps.
 KEEP_PAIRS = 300_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
