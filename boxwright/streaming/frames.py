@@ -22,9 +22,10 @@ def latest(frames: DataFrame, source: str, order: list[str]) -> DataFrame:
     return frames.groupBy(source).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("f")).select(source, *(F.col(f"f.{c}").alias(c) for c in rest)).select(*frames.columns)
 
 
-def camera(frames: DataFrame, source: str, order: list[str], handle: Callable[[DataFrame, int], None], checkpoint: str):
+def camera(frames: DataFrame, source: str, order: list[str], handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
     """A running query that gives handle the latest frame of each source in every micro-batch; others are dropped."""
-    return frames.writeStream.foreachBatch(lambda batch, number: handle(latest(batch, source, order), number)).option("checkpointLocation", checkpoint).start()
+    writer = frames.writeStream.foreachBatch(lambda batch, number: handle(latest(batch, source, order), number)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def _millis(time: Column) -> Column:
