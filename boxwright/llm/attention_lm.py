@@ -40,6 +40,8 @@ HEAD = 200_000
 KEEP_WORDS = 1_000_000
 GROUPS, EACH = 32, 32
 CLASSES, SHARED = GROUPS * EACH, 128
+#: Ids whose followers tell classes apart; with the vocabulary it bounds a table on the driver.
+COMPANY = 128
 WIDTH, STEP = 16, 16
 WARM_DOCS, WARM_IDS, WARM_ROUNDS = 1500, 2000, 3
 TRAIN_SHARE, BATCH = 16, 128
@@ -120,18 +122,21 @@ class Classes:
         size = len(counts)
         order = np.argsort(-counts, kind="stable")
         own = min(CLASSES - SHARED, size)
-        first = np.full(size, own, np.int64)
-        first[order[:own]] = np.arange(own)
-        # how often an id follows each of the most frequent ids, for a coordinate of the company it keeps
-        met = np.zeros((size, own + 1), np.float32)
+        # how often an id follows each of the COMPANY most frequent ids, for a coordinate of the company it keeps
+        near = min(COMPANY, size)
+        column = np.full(size, near, np.int64)
+        column[order[:near]] = np.arange(near)
+        met = np.zeros(size * (near + 1), np.float32)
         for ids in sample:
             for gap in (1, 2, 3, 5, 8):
-                np.add.at(met, (ids[gap:], first[ids[:-gap]]), 1)
-        seen = met.sum(axis=1)
-        share = np.sqrt(met / np.maximum(seen, 1)[:, None])
-        centred = share[order[:own]] - share[order[:own]].mean(axis=0)
-        axes = np.linalg.svd(centred, full_matrices=False)[2][:2] if own > 2 else np.zeros((2, own + 1))
-        x = (share - share[order[:own]].mean(axis=0)) @ axes.T
+                np.add.at(met, ids[gap:] * (near + 1) + column[ids[:-gap]], 1)
+        share = met.reshape(size, near + 1)
+        seen = share.sum(axis=1)
+        share /= np.maximum(seen, 1)[:, None]
+        np.sqrt(share, out=share)
+        centre = share[order[:own]].mean(axis=0)
+        axes = np.linalg.svd(share[order[:own]] - centre, full_matrices=False)[2][:2] if own > 2 else np.zeros((2, near + 1))
+        x = share @ axes.T - centre @ axes.T
         rest = order[own:]
         rest = rest[np.lexsort((x[rest, 0], seen[rest] < 5))]
         mass = np.cumsum(counts[rest] + 0.5)
@@ -452,10 +457,10 @@ def score(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     sums = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
     end = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).count()
     n, v = sums[0] + end, sums[1] + (end > 0)
-    head = words.orderBy(F.desc("total"), "h").limit(HEAD).select("h", "train").toPandas()
-    known = head["h"].to_numpy(np.int64).view(np.uint64)
+    head = words.orderBy(F.desc("total"), "h").limit(HEAD).select("h", "train").toArrow()
+    known = head["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], head["train"].to_numpy(np.int64)[order].astype(float)))
+    shared = spark.sparkContext.broadcast((known[order], head["train"].to_numpy()[order].astype(float)))
     parts = staged(keyed.mapInArrow(lambda it: _words(it, shared.value, end), "doc_id long, rid long, h long, k long, n_tokens long, known long, logs double"), "parts")
     tail = parts.filter("h is not null").select("rid", "h", "k").join(words.select("h", "train"), "h").select("rid", F.when(F.col("train") > 0, F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10(F.col("train") + 0.5)).alias("logs"))
 
