@@ -38,13 +38,15 @@ from boxwright.llm.token_shards import encoder, vocabulary
 HOLD, HELD = 5, 1
 HEAD = 200_000
 KEEP_WORDS = 1_000_000
-GROUPS, EACH = 32, 32
+GROUPS = EACH = 32
 CLASSES, SHARED = GROUPS * EACH, 128
 #: Ids whose followers tell classes apart; with the vocabulary it bounds a table on the driver.
 COMPANY = 128
 WIDTH, STEP = 16, 16
 WARM_DOCS, WARM_IDS, WARM_ROUNDS = 1500, 2000, 3
 TRAIN_SHARE, BATCH = 16, 128
+#: Windows that are scored at once: what they need stays in a processor's cache.
+SCORED = 512
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -162,6 +164,7 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
 
 _GAP = (np.arange(STEP)[:, None] + STEP) - np.arange(2 * STEP)[None, :]  # how far key j lies behind query t
 _CAUSAL = _GAP >= 0
+_ONES = np.ones(GROUPS, np.float32)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,6 +220,58 @@ def log_probabilities(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.nda
     return out
 
 
+class Scorer:
+    """log_probabilities by tables: queries, keys and values of each class are made once for each model.
+
+    Exponentials need no shift, as the tables bound what goes into them; beyond LARGEST they are shifted.
+    """
+
+    LARGEST = 60.0
+
+    def __init__(self, p: dict):
+        self.p = p
+        self.q, self.k, self.v = (p["e"] @ p["wq"]) * np.float32(WIDTH**-0.5), p["e"] @ p["wk"], p["e"] @ (p["wv"] @ p["wo"])
+        self.v = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], 1)  # the last column adds up the weights
+        self.x = p["e"] @ p["wx"] + p["b"]
+        self.near = np.where(_CAUSAL, np.exp(np.minimum(p["near"], self.LARGEST))[np.maximum(_GAP, 0)], 0).astype(np.float32)
+        largest = [np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max(), np.abs(p["near"]).max()]
+        largest += [(np.abs(p[w]).sum(axis=-2) + np.abs(p[b])).max() for w, b in (("w1", "b1"), ("w2", "b2"))]
+        self.bounded = max(largest[0] + largest[1], *largest[2:]) < self.LARGEST
+
+    def __call__(self, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, target: np.ndarray) -> np.ndarray:
+        if not self.bounded:
+            return log_probabilities(self.p, keys, real, asked, target)
+        p, own = self.p, keys[:, STEP:]
+        s = self.q.take(own, 0) @ self.k.take(keys, 0).transpose(0, 2, 1)
+        np.exp(s, out=s)
+        s *= self.near
+        if not real.all():
+            s *= real[:, None, :]
+        h = s @ self.v.take(keys, 0)
+        h = h[:, :, :WIDTH] / np.maximum(h[:, :, WIDTH:], np.float32(1e-30))
+        h += self.x.take(own, 0)
+        h = h.reshape(-1, WIDTH)
+        h = np.tanh(h if asked.all() else h[asked.ravel()])
+        group = target // EACH
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        h, place, group = h.take(order, 0), (target % EACH)[order], group[order]
+        z = h @ p["w1"] + p["b1"]
+        part = z[np.arange(len(z)), group]
+        np.exp(z, out=z)
+        total = z @ _ONES
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            a, b = cuts[g], cuts[g + 1]
+            if b > a:
+                z = h[a:b] @ p["w2"][g] + p["b2"][g]
+                part[a:b] += z[np.arange(b - a), place[a:b]]
+                np.exp(z, out=z)
+                total[a:b] *= z @ _ONES
+        out = np.empty(len(h))
+        out[order] = part - np.log(total)
+        return out
+
+
 def gradients(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the asked positions and its gradient."""
     x, q, k, v, s, o, h = _heads(p, keys, real)
@@ -425,16 +480,16 @@ def model_scores(coded: DataFrame, p: dict, classes: Classes, end: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, of, within = shared.value
-        p = unpacked(raw)
+        scorer = Scorer(unpacked(raw))
         for part, ids in _expanded(batches):
             flat, lengths = _with_end(ids, end)
             before, target = _sequences(of[flat].astype(np.int64), int(of[end]), lengths)
             at, real, asked = windows(lengths)
             scores = np.empty(len(flat))
-            for a in range(0, len(at), 512):
-                b = slice(a, a + 512)
+            for a in range(0, len(at), SCORED):
+                b = slice(a, a + SCORED)
                 where = at[b][:, STEP:][asked[b]]
-                scores[where] = log_probabilities(p, before[at[b]], real[b], asked[b], target[where])
+                scores[where] = scorer(before[at[b]], real[b], asked[b], target[where])
             text = np.add.reduceat(scores / np.log(10) + within[flat], np.concatenate([[0], np.cumsum(lengths)])[:-1])
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(text)], ["rid", "score"])
 

@@ -76,6 +76,17 @@ def test_attention_sees_only_the_past():
         assert all(one[i] == pytest.approx(two[i]) for i in one if i < k or i >= 45) and one[k] != two[k]
 
 
+def test_tables_score_as_the_definition():
+    _, before, target, at, real, asked = setting((5, 40, 1, 16, 17, 300))
+    where = at[:, lm.STEP :][asked]
+    for scale in (1, 12):  # the larger one is beyond what goes without a shift
+        p = {k: x * np.float32(scale) for k, x in lm.fresh().items()}
+        p["near"] += np.linspace(0, 1, 2 * lm.STEP, dtype=np.float32)
+        s = lm.Scorer(p)
+        assert s.bounded == (scale == 1)
+        assert s(before[at], real, asked, target[where]) == pytest.approx(lm.log_probabilities(p, before[at], real, asked, target[where]), abs=2e-4)
+
+
 def test_probabilities_add_up():
     _, before, _, at, real, asked = setting((3,))
     p, where = lm.fresh(), at[:, lm.STEP :][asked]
