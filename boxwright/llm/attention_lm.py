@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import lowered, shingles, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import least_hashes, lowered, shingles, slices, staged, text_buffers, word_hashes
 from boxwright.llm.token_shards import encoder, vocabulary
 
 HOLD, HELD = 5, 1
@@ -438,7 +438,7 @@ def fit(coded: DataFrame, size: int, end: int) -> tuple[dict, Classes]:
     counts = np.zeros(size, np.int64)
     for r in got:
         counts[r.id] = r.n
-    warm = known.orderBy(F.xxhash64("rid"), "rid").limit(WARM_DOCS).select("ids", "n").collect()
+    warm = least_hashes(known, ["rid"], WARM_DOCS, ["ids", "n"])
     expand = zstandard.ZstdDecompressor().decompress
     sample = [np.frombuffer(expand(bytes(r.ids)), np.uint16)[:WARM_IDS].astype(np.int64) if r.n else np.zeros(0, np.int64) for r in warm]
     sample = [np.append(x, end) for x in sample]

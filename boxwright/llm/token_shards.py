@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import staged, work_dir
+from boxwright.llm.common import least_hashes, staged, work_dir
 
 MAGIC = b"BWTOKENS"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
@@ -151,7 +151,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = No
         spec = spark.sparkContext.broadcast(f.read())
     to = to or work_dir(spark, "tokens")
     width = 2 if max(vocabulary(spec.value), end_id + 1) <= 1 << 16 else 4
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).collect()
+    picked = least_hashes(docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")), ["doc_id"], SAMPLE_DOCS, ["text"])
     encode = encoder(spec.value)
     dictionary = train_dictionary([np.asarray([*encode(r.text or ""), end_id][:SAMPLE_IDS], f"<u{width}").tobytes() for r in picked])
     files, base = pyarrow.fs.FileSystem.from_uri(to)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxwright.llm import decontaminate, graph, near_dup
-from boxwright.llm.common import lowered, shingles, text_buffers, word_hashes
+from boxwright.llm.common import least_hashes, lowered, shingles, text_buffers, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +63,13 @@ def test_lowered_slices():
                 assert lowered(column.cast(kind).slice(a, n)).to_pylist() == want[a : a + n]
 
 
+def test_least_hashes(spark):
+    df = spark.range(3000).withColumn("x", F.col("id") * 2)
+    whole = [r.x for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r.x for r in least_hashes(df, ["id"], 50, ["x"])] == whole
+    assert len(least_hashes(df.withColumn("id", F.lit(1)), ["id"], 50, ["x"])) == 50 and len(least_hashes(df.limit(3), ["id"], 50, ["x"])) == 3
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 60).astype(np.uint64)
