@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import least_hashes, lowered, shingles, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import least_hashes, lowered, mix64, slices, staged, text_buffers, word_hashes
 from boxwright.llm.token_shards import encoder, vocabulary
 
 HOLD, HELD = 5, 1
@@ -85,6 +85,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(_merged(parts))
 
 
+def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands in known (ascending), and whether it does; by the bucket of its leading bits."""
+    shift = np.uint64(64 - max(int(len(known)).bit_length(), 1))
+    starts = np.searchsorted(known, np.arange(1 << int(64 - shift), dtype=np.uint64) << shift)
+    at = starts[h >> shift]
+    todo = np.flatnonzero(at < len(known))
+    while len(todo):  # a bucket holds few
+        todo = todo[known[at[todo]] < h[todo]]
+        at[todo] += 1
+        todo = todo[at[todo] < len(known)]
+    at = np.minimum(at, max(len(known) - 1, 0))
+    return at, known[at] == h if len(known) else np.zeros(len(h), bool)
+
+
 def _words(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray], end: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (h null) with what the head and the end give, and one for each other word."""
     known, counts = head
@@ -93,8 +107,7 @@ def _words(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray
             h, before = word_hashes(*text_buffers(lowered(batch.column("text"))))
             n, docs = np.diff(before), batch.num_rows
             doc = np.repeat(np.arange(docs), n)
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            at, hit = _places(known, h)
             c = counts[at[hit]] if len(known) else np.zeros(0)
             logs = np.bincount(doc[hit], np.log10(c + 0.5), docs) + np.log10(end + 0.5)
             seen = np.bincount(doc[hit], c > 0, docs).astype(np.int64) + (end > 0)
@@ -164,6 +177,7 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
 
 _GAP = (np.arange(STEP)[:, None] + STEP) - np.arange(2 * STEP)[None, :]  # how far key j lies behind query t
 _CAUSAL = _GAP >= 0
+_FACTORS = mix64(np.arange(1, 2 * STEP + 1, dtype=np.uint64)) | np.uint64(1)
 _ONES = np.ones(GROUPS, np.float32)
 
 
@@ -286,8 +300,10 @@ def gradients(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, ta
     g["w1"], g["b1"] = ha.T @ d1, d1.sum(axis=0)
     dh_on = d1 @ p["w1"].T
     g["w2"], g["b2"], l2 = np.zeros_like(p["w2"]), np.zeros_like(p["b2"]), np.zeros(len(on))
-    for c in np.unique(group):
-        at = np.flatnonzero(group == c)
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[c] : cuts[c + 1]]
         l2[at], d2 = _log_softmax(ha[at] @ p["w2"][c] + p["b2"][c], place[at])
         d2[np.arange(len(at)), place[at]] -= 1
         d2 /= n
@@ -358,8 +374,8 @@ def _train_windows(classes: np.ndarray, end: int, lengths: np.ndarray, share: in
 
 
 def _window_hash(keys: np.ndarray) -> np.ndarray:
-    n, w = keys.shape
-    return shingles(keys.astype(np.uint64).ravel(), np.arange(n + 1) * w, w)[0]
+    """A hash of each row: its classes by fixed odd factors, mixed."""
+    return mix64((keys.astype(np.uint64) + np.uint64(1)) @ _FACTORS)
 
 
 def packed(p: dict) -> bytes:

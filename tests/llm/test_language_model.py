@@ -87,6 +87,15 @@ def test_tables_score_as_the_definition():
         assert s(before[at], real, asked, target[where]) == pytest.approx(lm.log_probabilities(p, before[at], real, asked, target[where]), abs=2e-4)
 
 
+def test_places():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 1000):
+        known = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        h = np.concatenate([known, rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, hit = lm._places(known, h)
+        assert list(hit) == [x in set(known) for x in h] and (known[at[hit]] == h[hit]).all()
+
+
 def test_probabilities_add_up():
     _, before, _, at, real, asked = setting((3,))
     p, where = lm.fresh(), at[:, lm.STEP :][asked]
