@@ -32,7 +32,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), END_ID)
+    return token_shards.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), END_ID, added=True)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

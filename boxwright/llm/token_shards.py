@@ -15,6 +15,7 @@ Cases: null and empty texts have just the end id. Without documents there is no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -42,7 +43,7 @@ READ = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 # ---------------------------------------------------------------- encoding
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[tuple[str, bool], object] = {}
 
 
 def rank_file(tokenizer_json: str) -> tuple[dict[bytes, int], str]:
@@ -55,27 +56,37 @@ def rank_file(tokenizer_json: str) -> tuple[dict[bytes, int], str]:
     return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}, r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoder(tokenizer_json: str):
-    """text -> ids as the tokenizers library gives them.
+def encoder(tokenizer_json: str, added: bool = False):
+    """text -> ids. added: texts are split at the file's added tokens, as the tokenizers library does by default;
+    else those are text like any other (the library with encode_special_tokens).
 
-    A byte-level BPE whose vocabulary is in merge order is run by the faster tiktoken; test_token_shards
-    holds it against the tokenizers library. Any other file is run by the tokenizers library itself.
+    A byte-level BPE whose vocabulary is in merge order is run by the faster tiktoken, but a text that holds an
+    added token by the tokenizers library; test_token_shards and test_added_tokens hold both against the library.
+    Any other file is run by the tokenizers library itself.
     """
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest(), added
     if key not in _ENCODERS:
         spec = json.loads(tokenizer_json)
         plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}) .get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["model"]["type"] == "BPE"
+
+        @functools.cache
+        def library():
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_str(tokenizer_json)
+            t.encode_special_tokens = not added
+            return t
+
+        whole = lambda text: library().encode(text, add_special_tokens=False).ids
         if plain:
             import tiktoken
 
             ranks, pattern = rank_file(tokenizer_json)
-            _ENCODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            marks = [t["content"] for t in spec["added_tokens"]] if added else []
+            _ENCODERS[key] = (lambda text: whole(text) if any(m in text for m in marks) else fast(text)) if marks else fast
         else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_str(tokenizer_json)
-            t.encode_special_tokens = True
-            _ENCODERS[key] = lambda text: t.encode(text, add_special_tokens=False).ids
+            _ENCODERS[key] = whole
     return _ENCODERS[key]
 
 
@@ -140,11 +151,11 @@ class Shard:
 # ---------------------------------------------------------------- all documents
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = None) -> tuple[DataFrame, bytes, str]:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = None, added: bool = False) -> tuple[DataFrame, bytes, str]:
     """Write all documents; the table of shards (start: ids before it in its part), the dictionary and the folder.
 
     to: a folder that executors share, as a URI; in the session's shared folder by default. It gets the
-    shards, dictionary.zstd and, from finish(), manifest.json.
+    shards, dictionary.zstd and, from finish(), manifest.json. added: as encoder() has it.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -152,7 +163,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = No
     to = to or work_dir(spark, "tokens")
     width = 2 if max(vocabulary(spec.value), end_id + 1) <= 1 << 16 else 4
     picked = least_hashes(docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")), ["doc_id"], SAMPLE_DOCS, ["text"])
-    encode = encoder(spec.value)
+    encode = encoder(spec.value, added)
     dictionary = train_dictionary([np.asarray([*encode(r.text or ""), end_id][:SAMPLE_IDS], f"<u{width}").tobytes() for r in picked])
     files, base = pyarrow.fs.FileSystem.from_uri(to)
     files.create_dir(base, recursive=True)
@@ -164,7 +175,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = No
         from pyspark import TaskContext
 
         part, seq, done = TaskContext.get().partitionId(), 0, 0
-        encode, writer = encoder(spec.value), ShardWriter(shared.value, width)
+        encode, writer = encoder(spec.value, added), ShardWriter(shared.value, width)
         files, base = pyarrow.fs.FileSystem.from_uri(to)
 
         def flush() -> pa.RecordBatch:
@@ -228,6 +239,6 @@ def read(shards: DataFrame, dictionary: bytes, to: str, before: dict[int, int])
     return shards.select("part", "start", "path").repartition(n, "path").mapInArrow(run, READ).drop("part")
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    shards, dictionary, to = write(docs, tokenizer_path, end_id)
+def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, added: bool = False) -> DataFrame:
+    shards, dictionary, to = write(docs, tokenizer_path, end_id, added=added)
     return read(shards, dictionary, to, finish(shards, dictionary, to))

@@ -116,6 +116,17 @@ def test_token_shards(docs, rows):
     assert token_shards.write_and_read(docs.limit(0), path, 2).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    """op5 against the library as it comes: added tokens in a text are single ids."""
+    t = Tokenizer.from_file(public_tokenizers.path(registry.BYTES))
+    made = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>  y\n <|endoftext|>"), (4, "plain <|endoftext |>"), (5, None), (6, "after É 🎉")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, registry.END_ID] for _, x in made]
+    assert ids[0][:-1] == [64, 220, 50256, 275]
+    starts = [0, *accumulate(map(len, ids))]
+    equal(registry.op5_token_shards(spark, str(tmp_path)), [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), s, i in zip(made, starts, ids, strict=False)])
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="search-page">
     <nav><a href=/>Menu</a></nav><div class="ad">Buy</div><div id=cookie-notice>Cookies</div><aside>Side</aside>
