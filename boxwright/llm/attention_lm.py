@@ -11,8 +11,8 @@ Model. Subword ids (a public byte-level vocabulary) fall into CLASSES classes: t
 class of their own, others share one. P(id) = P(group | context) P(class | group, context) P(id | class).
 Counts of ids cover all training documents. The network is one causal attention layer of width WIDTH over
 class embeddings, trained in numpy: it starts from WARM_DOCS training documents (smallest hash of doc_id),
-then every task trains it further on one in TRAIN_SHARE windows of its training documents, at every size,
-and the tasks' weights are averaged by the number of windows. A text is scored in windows of STEP new
+then every task trains it further on all windows of its training documents, and the tasks' weights are
+averaged by the number of windows. A text is scored in windows of STEP new
 positions after STEP of context: windows overlap, each id is scored once, with batched masked attention.
 The score is the log10 probability of the ids and one end.
 
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import least_hashes, lowered, mix64, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import least_hashes, lowered, slices, staged, text_buffers, word_hashes
 from boxwright.llm.token_shards import encoder, vocabulary
 
 HOLD, HELD = 5, 1
@@ -44,7 +44,7 @@ CLASSES, SHARED = GROUPS * EACH, 128
 COMPANY = 128
 WIDTH, STEP = 16, 16
 WARM_DOCS, WARM_IDS, WARM_ROUNDS = 1500, 2000, 3
-TRAIN_SHARE, BATCH = 16, 128
+BATCH = 128
 #: Windows that are scored at once: what they need stays in a processor's cache.
 SCORED = 512
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -177,7 +177,6 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
 
 _GAP = (np.arange(STEP)[:, None] + STEP) - np.arange(2 * STEP)[None, :]  # how far key j lies behind query t
 _CAUSAL = _GAP >= 0
-_FACTORS = mix64(np.arange(1, 2 * STEP + 1, dtype=np.uint64)) | np.uint64(1)
 _ONES = np.ones(GROUPS, np.float32)
 
 
@@ -364,20 +363,13 @@ def train(p: dict, parts: Iterator[tuple[np.ndarray, ...]], rate: float) -> int:
     return n
 
 
-def _train_windows(classes: np.ndarray, end: int, lengths: np.ndarray, share: int, seed: int):
+def _train_windows(classes: np.ndarray, end: int, lengths: np.ndarray, seed: int):
     before, target = _sequences(classes, end, lengths)
     at, real, asked = windows(lengths)
-    # one in share windows, by content, so that the choice doesn't depend on how rows are dealt
-    pick = np.arange(len(at)) if share == 1 else np.flatnonzero(_window_hash(before[at]) % np.uint64(share) == 0)
-    pick = np.random.default_rng(seed).permutation(pick)
+    pick = np.random.default_rng(seed).permutation(len(at))
     return before[at[pick]].astype(np.int64), real[pick], asked[pick], target[at[pick][:, STEP:]].astype(np.int64)
 
 
-def _window_hash(keys: np.ndarray) -> np.ndarray:
-    """A hash of each row: its classes by fixed odd factors, mixed."""
-    return mix64((keys.astype(np.uint64) + np.uint64(1)) @ _FACTORS)
-
-
 def packed(p: dict) -> bytes:
     out = io.BytesIO()
     np.savez(out, **p)
@@ -464,7 +456,7 @@ def fit(coded: DataFrame, size: int, end: int) -> tuple[dict, Classes]:
         flat = classes.of[np.concatenate(sample)]
         lengths = np.array([len(x) for x in sample])
         for k in range(WARM_ROUNDS):
-            train(p, iter([_train_windows(flat, int(classes.of[end]), lengths, 1, k)]), 0.02 / (1 + k))
+            train(p, iter([_train_windows(flat, int(classes.of[end]), lengths, k)]), 0.02 / (1 + k))
     start = spark.sparkContext.broadcast((packed(p), classes.of))
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +466,7 @@ def fit(coded: DataFrame, size: int, end: int) -> tuple[dict, Classes]:
         def parts():
             for _, ids in _expanded(batches):
                 flat, lengths = _with_end(ids, end)
-                yield _train_windows(of[flat], int(of[end]), lengths, TRAIN_SHARE, 0)
+                yield _train_windows(of[flat], int(of[end]), lengths, 0)
 
         n = train(p, parts(), 0.002)
         if n:

@@ -138,3 +138,11 @@ def test_held_out_texts_are_more_likely_than_by_frequency_alone(spark):
     by_count = sum(math.log10((counts[i] + 0.5) / (n + 0.5 * v)) for r in got if r.held_out for i in [*encode(text[r.doc_id]), -1])
     by_model = sum(r.score for r in got if r.held_out)
     assert by_model > 0.93 * by_count
+
+
+def test_network_is_trained_on_all_windows(docs, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(lm, "staged", lambda df, name, f=lm.staged: kept.setdefault(name, f(df, name)))
+    lm.score(docs, PATH)
+    lengths = np.array([r.n + 1 for r in kept["ids"].filter("not held_out").select("n").collect()])
+    assert sum(r.n for r in kept["trained"].select("n").collect()) == len(lm.windows(lengths)[0])
