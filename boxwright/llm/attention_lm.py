@@ -9,7 +9,8 @@ frequent. Words are told apart by 64-bit hashes.
 
 Model. Subword ids (a public byte-level vocabulary) fall into CLASSES classes: the most frequent ids have a
 class of their own, others share one. P(id) = P(group | context) P(class | group, context) P(id | class).
-Counts of ids cover all training documents. The network is one causal attention layer of width WIDTH over
+Counts of ids, and of the followers of the COMPANY most frequent ids, by which ids fall into classes and
+classes into groups, cover all training documents. Within a class, P(id | class) is by frequency alone. The network is one causal attention layer of width WIDTH over
 class embeddings, trained in numpy: it starts from WARM_DOCS training documents (smallest hash of doc_id),
 then every task trains it further on all windows of its training documents, and the tasks' weights are
 averaged by the number of windows. A text is scored in windows of STEP new
@@ -43,7 +44,10 @@ CLASSES, SHARED = GROUPS * EACH, 128
 #: Ids whose followers tell classes apart; with the vocabulary it bounds a table on the driver.
 COMPANY = 128
 WIDTH, STEP = 16, 16
-WARM_DOCS, WARM_IDS, WARM_ROUNDS = 1500, 2000, 3
+WARM_DOCS, WARM_ROUNDS = 1500, 3
+GAPS = (1, 2, 3, 5, 8)
+#: Ids in one row of the follower counts.
+MET_IDS = 1024
 BATCH = 128
 #: Windows that are scored at once: what they need stays in a processor's cache.
 SCORED = 512
@@ -130,27 +134,41 @@ def _words(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- the network
 
 
+def company(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The column of each id in the table of followers, and the number of columns: the last is for all but the most frequent ids."""
+    near = min(COMPANY, len(counts))
+    column = np.full(len(counts), near, np.int64)
+    column[np.argsort(-counts, kind="stable")[:near]] = np.arange(near)
+    return column, near + 1
+
+
+def followers(met: np.ndarray, column: np.ndarray, wide: int, flat: np.ndarray, lengths: np.ndarray) -> None:
+    """Add to met how often an id follows each column, by GAPS, in texts laid end to end."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    for gap in GAPS:
+        on = doc[gap:] == doc[:-gap]
+        np.add.at(met, flat[gap:][on] * wide + column[flat[:-gap][on]], 1)
+
+
 class Classes:
-    """Which class each id has, and its log10 probability within it."""
+    """Which class each id has, and its log10 probability within it. met: the followers of all texts; those of sample by default."""
 
-    def __init__(self, counts: np.ndarray, sample: list[np.ndarray]):
+    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], met: np.ndarray | None = None):
         size = len(counts)
         order = np.argsort(-counts, kind="stable")
         own = min(CLASSES - SHARED, size)
-        # how often an id follows each of the COMPANY most frequent ids, for a coordinate of the company it keeps
-        near = min(COMPANY, size)
-        column = np.full(size, near, np.int64)
-        column[order[:near]] = np.arange(near)
-        met = np.zeros(size * (near + 1), np.float32)
-        for ids in sample:
-            for gap in (1, 2, 3, 5, 8):
-                np.add.at(met, ids[gap:] * (near + 1) + column[ids[:-gap]], 1)
-        share = met.reshape(size, near + 1)
+        column, wide = company(counts)
+        if met is None:
+            met = np.zeros(size * wide, np.int64)
+            for ids in sample:
+                followers(met, column, wide, ids, np.array([len(ids)]))
+        # a coordinate of the company that an id keeps
+        share = met.astype(np.float32).reshape(size, wide)
         seen = share.sum(axis=1)
         share /= np.maximum(seen, 1)[:, None]
         np.sqrt(share, out=share)
         centre = share[order[:own]].mean(axis=0)
-        axes = np.linalg.svd(share[order[:own]] - centre, full_matrices=False)[2][:2] if own > 2 else np.zeros((2, near + 1))
+        axes = np.linalg.svd(share[order[:own]] - centre, full_matrices=False)[2][:2] if own > 2 else np.zeros((2, wide))
         x = share @ axes.T - centre @ axes.T
         rest = order[own:]
         rest = rest[np.lexsort((x[rest, 0], seen[rest] < 5))]
@@ -392,6 +410,24 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"n": n, "weights": packed({k: x / n for k, x in total.items()})}], schema=_WEIGHTS)
 
 
+def _met_rows(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """(block, met) of the tables that are not all 0."""
+    squeeze, some = zstandard.ZstdCompressor(level=1).compress, {k: x for k, x in tables.items() if x.any()}
+    return pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array([squeeze(x.tobytes()) for x in some.values()], pa.binary())], ["block", "met"])
+
+
+def _met_table(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+
+
+def _met_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column("block").to_pylist(), batch.column("met"), strict=True):
+            total[k] = total.get(k, 0) + _met_table(raw.as_py())
+    yield _met_rows(total)
+
+
 _WEIGHTS = pa.schema([("n", pa.int64()), ("weights", pa.binary())])
 
 
@@ -446,11 +482,26 @@ def fit(coded: DataFrame, size: int, end: int) -> tuple[dict, Classes]:
     counts = np.zeros(size, np.int64)
     for r in got:
         counts[r.id] = r.n
+    column, wide = company(counts)
+    table = spark.sparkContext.broadcast(column)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(size * wide, np.int64)
+        for _, ids in _expanded(batches):
+            followers(met, table.value, wide, *_with_end(ids, end))
+        yield _met_rows({k: met[a : a + MET_IDS * wide] for k, a in enumerate(range(0, len(met), MET_IDS * wide))})
+
+    # the vocabulary by COMPANY + 1 figures, whatever the input's size
+    rows = known.select("ids", "n").mapInArrow(meet, "block int, met binary").repartition(-(-size // MET_IDS), "block").mapInArrow(_met_sums, "block int, met binary").collect()
+    met = np.zeros(size * wide, np.int64)
+    for x in rows:
+        some = _met_table(bytes(x.met))
+        met[x.block * MET_IDS * wide :][: len(some)] = some
     warm = least_hashes(known, ["rid"], WARM_DOCS, ["ids", "n"])
     expand = zstandard.ZstdDecompressor().decompress
-    sample = [np.frombuffer(expand(bytes(r.ids)), np.uint16)[:WARM_IDS].astype(np.int64) if r.n else np.zeros(0, np.int64) for r in warm]
+    sample = [np.frombuffer(expand(bytes(r.ids)), np.uint16).astype(np.int64) if r.n else np.zeros(0, np.int64) for r in warm]
     sample = [np.append(x, end) for x in sample]
-    classes = Classes(counts, sample)
+    classes = Classes(counts, sample, met)
     p = fresh()
     if sample:
         flat = classes.of[np.concatenate(sample)]

@@ -146,3 +146,19 @@ def test_network_is_trained_on_all_windows(docs, monkeypatch):
     lm.score(docs, PATH)
     lengths = np.array([r.n + 1 for r in kept["ids"].filter("not held_out").select("n").collect()])
     assert sum(r.n for r in kept["trained"].select("n").collect()) == len(lm.windows(lengths)[0])
+
+
+def test_classes_come_from_all_followers(docs, monkeypatch):
+    """Followers count in all training documents to their end, not in the first pass's sample."""
+    kept, made = {}, []
+    monkeypatch.setattr(lm, "WARM_DOCS", 20)
+    monkeypatch.setattr(lm, "staged", lambda df, name, f=lm.staged: kept.setdefault(name, f(df, name)))
+    whole = lm.Classes
+    monkeypatch.setattr(lm, "Classes", lambda *a, f=whole: made.append((a, f(*a))) or made[-1][1])
+    lm.score(docs, PATH)
+    (args, got), end = made[0], len(made[0][0][0]) - 1
+    batches = kept["ids"].filter("not held_out").select("ids", "n").toArrow().to_batches()
+    every = [np.append(x, end).astype(np.int64) for _, some in lm._expanded(iter(batches)) for x in some]
+    assert len(every) > len(args[1]) == 20
+    want = whole(args[0], every)
+    assert (got.of == want.of).all() and np.allclose(got.within, want.within)
