@@ -2,8 +2,9 @@ r"""Quality rules, line first, as DataFrame expressions only.
 
 Words are runs of characters other than space and U+0009..U+000D. A document fails the base rules with fewer
 than MIN_WORDS words or with over MAX_REPEAT % of its words in repeated five-word windows. Else every line
-with a word is judged: symbols (punctuation rule), separators (navigation rule), shouting, stock phrases
-(boilerplate rule). Failing lines are removed, and a document that keeps under MIN_KEPT % of its word
+with a word is judged: symbols (punctuation rule), shouting, stock phrases (boilerplate rule), and navigation:
+MENU_ITEMS items of up to ITEM_WORDS words between separators, a line that is a menu word, or one of
+MENU_ITEMS + 1 or more lines in a row (blank ones aside) of up to ITEM_WORDS words without end punctuation. Failing lines are removed, and a document that keeps under MIN_KEPT % of its word
 characters is rejected. The thresholds are the module's constants.
 
 Cases: null and empty texts have no words and fail. All work is within a row, so there is no shuffle, no
@@ -21,17 +22,40 @@ from boxwright.llm.common import SPACE
 MIN_WORDS, MAX_REPEAT, MIN_KEPT, WIDTH = 10, 20, 50, 5
 BOILERPLATE = "(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|click here|sign up for|licensed under the|lorem ipsum"
 
+MENU_ITEMS, ITEM_WORDS = 3, 3
+MENU_WORDS = "(?i)^\\\\s*(home|home ?page|menu|main menu|navigation|site ?map|search|log ?in|log ?out|sign ?in|sign ?out|sign ?up|register|my account|cart|checkout|about|about us|contact|contact us|faq|help|next|next page|previous|previous page|back|back to top|skip to (main )?content|read more|see more|show more|share|share this)\\\\s*$"
+
 _SQL_SPACE = SPACE.replace("\\", "\\\\")
 NOT_SYMBOL, NOT_UPPER, NOT_LETTER, SHOUT = "[^#*$%&|<>]+", r"\\P{Lu}+", r"\\P{L}+", "[^!]+"
 
 
+SEPARATOR = "[|·•›»→]|(?<=\\\\s)[/>](?=\\\\s)"
+#: A 1 among MENU_ITEMS + 1 or more in a row.
+IN_RUN = "|".join(f"(?<={'1' * k})1(?={'1' * (MENU_ITEMS - k)})" for k in range(MENU_ITEMS + 1))
+
+
+def _long(text: str) -> str:
+    """SQL: whether text has more than ITEM_WORDS words."""
+    space, word = _SQL_SPACE, _SQL_SPACE.replace("[", "[^")
+    # possessive, so that a long word is read once
+    return f"{text} rlike '^{space.rstrip('+')}*+{f'{space}+'.join([f'{word}+'] * (ITEM_WORDS + 1))}'"
+
+
+def in_menu(lines: str) -> str:
+    """SQL: for each of lines, all with a word, '2' where it is one of a run of short lines."""
+    short = f"not {_long('l')} and not l rlike '[.!?:;,…][\\\\p{{Pe}}\\\\p{{Pf}}\"]*\\\\s*$'"
+    return f"split(regexp_replace(array_join(transform({lines}, l -> if({short}, '1', '0')), ''), '{IN_RUN}', '2'), '')"
+
+
 def line_fails(line: str) -> str:
     """SQL: whether a line with a word is to be removed."""
     n = f"size(array_remove(split({line}, '{_SQL_SPACE}'), ''))"
     symbols = f"length(regexp_replace({line}, '{NOT_SYMBOL}', ''))"
     upper, letters = f"length(regexp_replace({line}, '{NOT_UPPER}', ''))", f"length(regexp_replace({line}, '{NOT_LETTER}', ''))"
     shouts = f"length(regexp_replace({line}, '{SHOUT}', ''))"
-    return f"(3 * {symbols} >= {n} or 2 * {shouts} >= 2 * {n} and 2 * {upper} >= {letters} or {line} rlike '{BOILERPLATE}')"
+    items = f"split({line}, '{SEPARATOR}', -1)"
+    menu = f"({line} rlike '{SEPARATOR}' and size({items}) >= {MENU_ITEMS} and forall({items}, x -> not {_long('x')}))"
+    return f"(3 * {symbols} >= {n} or 2 * {shouts} >= 2 * {n} and 2 * {upper} >= {letters} or {line} rlike '{BOILERPLATE}' or {line} rlike '{MENU_WORDS}' or {menu})"
 
 
 def measured(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -54,7 +78,7 @@ def measured(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     covered = f"aggregate({places}, struct(0L as n, -{WIDTH}L as last), (a, p) -> struct(a.n + least({WIDTH}L, p - a.last) as n, cast(p as bigint) as last), a -> a.n)"
     df = df.select(*ids, "__l", "word_chars", "n_symbols", "n_dup_lines", "n_words", F.expr(f"if(__z is null, 0L, {covered})").alias("n_repeat_words"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    left = f"aggregate(filter(__l, l -> not {line_fails('l')}), 0L, (n, l) -> n + length(regexp_replace(l, '{_SQL_SPACE}', '')))"
+    left = f"aggregate(zip_with(__l, {in_menu('__l')}, (l, m) -> if(l is null or m = '2' or {line_fails('l')}, 0L, length(regexp_replace(l, '{_SQL_SPACE}', '')))), 0L, (n, x) -> n + x)"
     df = df.withColumn("kept_chars", F.expr(f"if(base_failed, 0L, {left})"))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= MIN_KEPT * F.col("word_chars")))
     return df.select(*(c if isinstance(c, str) else c for c in ids), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
@@ -68,8 +92,10 @@ def quality_digests(docs: DataFrame) -> DataFrame:
 def clean_lines(docs: DataFrame) -> DataFrame:
     """docs with failing lines taken out of text; lines without a word stay."""
     bare = _SQL_SPACE.replace("[", "[^").rstrip("+")
-    kept = f"array_join(filter(split(text, '\\n', -1), l -> not (l rlike '{bare}') or not {line_fails('l')}), '\\n')"
-    return docs.withColumn("text", F.expr(kept))
+    every = "transform(split(text, '\\n', -1), (l, i) -> struct(l, i))"
+    worded = f"filter({every}, s -> s.l rlike '{bare}')"
+    gone = f"filter(zip_with({worded}, {in_menu(f'transform({worded}, s -> s.l)')}, (s, m) -> if(m = '2' or {line_fails('s.l')}, s, null)), s -> s is not null)"
+    return docs.withColumn("text", F.expr(f"array_join(transform(array_except({every}, {gone}), s -> s.l), '\\n')"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -75,6 +75,17 @@ def test_quality_keeps_rows_and_cuts_lines(spark):
     assert quality.keep_good(df.limit(0)).columns == df.columns
 
 
+def test_navigation(spark):
+    good = "This line has quite enough words to be kept as it is.\nYou may use this and/or that, either / or as you like it."
+    menus = ["Home / News / Sport", "Home · About · Contact us", "Home\n\nNews\nWorld sport\n  Weather today", "Contact us", "Start » Shop » Red shoes"]
+    page = "Front page / World news / Local sport\nWeather · Travel · Food and drink\nCars\nMoney\nHealth\nScience\nFilm and music"
+    df = spark.createDataFrame([*enumerate([good, page, *(f"{m}\n{good}" for m in menus), good + "\nSincerely\nA friend", None])], "doc_id long, text string")
+    assert [r.text for r in quality.clean_lines(df).orderBy("doc_id").collect()] == [good, "", good, good, "\n" + good, good, good, good + "\nSincerely\nA friend", None]
+    got = {r.doc_id: r for r in quality.quality_digests(df).collect()}
+    assert [got[k].kept for k in range(9)] == [True, False, *[True] * 6, False] and not got[1].base_failed
+    assert all(got[k].kept_chars == got[0].kept_chars for k in range(2, 7))
+
+
 def plain_spans(text):
     """The base rules as plain regular expressions."""
     out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
