@@ -2,11 +2,16 @@
 
 For every prefix of a text, BPE leaves exactly one last token. An automaton lists the tokens that end at a
 position; the one that is compatible with the last token of the prefix before it is the last token there.
-Walking back from the end of the text through the table gives all ids.
+Walking back from the end of the text through the table gives all ids. The table has a row for each unit:
+a run of marks and the characters up to the next mark or line end, as no piece crosses those borders. Pieces of
+several marks all have one score, the lowest, so they are merged last: the table serves the last mark and what
+follows it, and the marks before it are merged among themselves. A model that is not like this (another
+normaliser, user-defined pieces, marks within pieces) raises a ValueError.
 
 Cases: null and empty texts have no ids and decode to an empty text. Code points outside the vocabulary
 become byte pieces. Control pieces in a text are ordinary characters. Rows with equal texts or ids are
-encoded alike; other columns of the input are ignored by encode_digests and kept by round_trip.
+encoded alike, an empty table gives an empty result, and a long text costs linear time and one row's memory.
+Other columns of the input are ignored by encode_digests and kept by encode.
 """
 
 from __future__ import annotations
@@ -23,17 +28,22 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from boxwright.llm.common import tidy
+
 MARK = "▁"
-#: Encoded units that a Python worker keeps; beyond it the older half goes.
-KEEP_UNITS = 500_000
+#: Bytes, about, of encoded units that a Python worker keeps within a task; beyond it the older half goes.
+KEEP_BYTES = 96 << 20
+#: What a unit takes there beside its characters and ids.
+UNIT_BYTES = 240
 #: Tested pairs of tokens that it keeps.
 KEEP_PAIRS = 300_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class PieceCodec:
-    def __init__(self, model: bytes, keep: int = KEEP_UNITS):
+    def __init__(self, model: bytes, keep: int = KEEP_BYTES):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        _expect(model)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -50,16 +60,18 @@ class PieceCodec:
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        #: A piece that starts or holds the mark elsewhere than in front would let tokens cross units.
-        inside = any(MARK in p.lstrip(MARK) for p in self.ids)
-        newline = any("\n" in p and len(p) > 1 for p in self.ids)
-        self.units = re.compile(r"(?s).+" if inside else rf"(?s){MARK}+[^{MARK}]*|[^{MARK}]+" if newline else rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+        self.marks = [p for p in self.ids if len(p) > 1 and not p.strip(MARK)]
+        if any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) and p.strip(MARK) or "\n" in p and len(p) > 1 for p in self.ids):
+            raise ValueError("a piece crosses a unit's border")
+        if self.marks and max(self.score[self.ids[p]] for p in self.marks) >= min((self.score[i] for p, i in self.ids.items() if p[0] == MARK != p and p.strip(MARK)), default=0):
+            raise ValueError("marks are merged before words")
+        self.units = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.fits: dict[int, bool] = {}  # by first id * 2**32 + second id
         self.whole: dict[int, bool] = {}
         self.ends: dict[int, tuple] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.keep = keep // 2
+        self.keep, self.held = keep // 2, 0
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves, best score first and leftmost among equals: the definition."""
@@ -127,9 +139,16 @@ class PieceCodec:
         return found
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
-        """The ids of one unit. Runs of marks have pieces of equal score, so there the merges decide."""
-        if unit.startswith(MARK * 2):
-            return tuple(chain.from_iterable(self._spell(p) for p in self.merge(unit)))
+        """The ids of one unit."""
+        marks = len(unit) - len(unit.lstrip(MARK))
+        if marks < 2:
+            return self._by_table(unit)
+        rest = self._by_table(unit[marks - 1 :])
+        if rest[0] == self.ids.get(MARK):  # the last mark is not part of a word
+            rest, marks = rest[1:], marks + 1
+        return tuple(chain.from_iterable(self._spell(p) for p in self.merge(MARK * (marks - 1)))) + rest
+
+    def _by_table(self, unit: str) -> tuple[int, ...]:
         n = len(unit)
         last = [-1] * (n + 1)  # -1: a code point outside the vocabulary
         size = [1] * (n + 1)
@@ -166,11 +185,16 @@ class PieceCodec:
     def _fresh(self, unit: str) -> tuple[int, ...]:
         found = self.young.get(unit) or self.old.get(unit) or self.encode_unit(unit)
         if len(unit) <= 64:
-            if len(self.young) >= self.keep:
-                self.old, self.young = self.young, {}
+            if self.held >= self.keep:
+                self.old, self.young, self.held = self.young, {}, 0
             self.young[unit] = found
+            self.held += UNIT_BYTES + 2 * len(unit) + 8 * len(found)
         return found
 
+    def forget(self) -> None:
+        """Drop the encoded units."""
+        self.young, self.old, self.held = {}, {}, 0
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -222,6 +246,23 @@ class PieceCodec:
 _LOADED: dict[str, PieceCodec] = {}
 
 
+def _expect(model: bytes) -> None:
+    """Raise where the model asks for what this codec does not do."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(model)
+    n, kinds = spec.normalizer_spec, {p.type for p in spec.pieces}
+    piece = sentencepiece_model_pb2.ModelProto.SentencePiece
+    if spec.trainer_spec.model_type != sentencepiece_model_pb2.TrainerSpec.BPE or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix or kinds & {piece.USER_DEFINED, piece.UNUSED}:
+        raise ValueError("not a plain merge model with a dummy prefix")
+
+
+def forget_units() -> None:
+    for c in _LOADED.values():
+        c.forget()
+
+
 def codec(model: bytes) -> PieceCodec:
     """One codec for each model and Python worker."""
     key = hashlib.sha256(model).hexdigest()
@@ -251,7 +292,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 decoded.append(sha(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, forget_units), DIGESTS)
 
 
 def encode(docs: DataFrame, model_path: str, ids: str = "piece_ids", decoded: str = "piece_text") -> DataFrame:
@@ -269,4 +310,4 @@ def encode(docs: DataFrame, model_path: str, ids: str = "piece_ids", decoded: st
             found = [c.encode(text.as_py() or "") for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found, pa.list_(pa.int32())), pa.array([c.decode(x) for x in found], pa.string())], [*kept, ids, decoded])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run, forget_units), schema)
