@@ -37,7 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = _oriented(edges)
     before = None
     for _ in range(ROUNDS):
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        # equal sums of two independent 64-bit hashes, without overflow, mean equal sets of edges
+        sums = [F.sum(F.xxhash64(*x).cast("decimal(20,0)")) for x in (("a", "b"), (F.lit(1), "b", "a"))]
+        mark = now.agg(F.count("*"), *sums).first()
         if mark == before or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = mark

@@ -17,7 +17,9 @@ is 1-(1-0.8**ROWS)**BANDS > 0.999.
 
 Cases: null, empty and wordless texts are alone in their class, equal or not. A text of fewer words than
 WIDTH has one shingle of all its words. Rows with the same doc_id are one document of all those texts for
-its class; a null doc_id has a null class. Other columns are ignored by classes and kept by keep_one.
+its class; a null doc_id has a null class. keep_one compares rows, whatever their ids: of a group the row with
+the least doc_id stays (null last; then any one). An empty table gives an empty result. Other columns are
+ignored by classes and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import lookup, mix64, shingles, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import lookup, mix64, shingles, slices, staged, text_buffers, tidy, word_hashes
 from boxwright.llm.graph import components, nearer
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 20
 COMPONENTS = ROWS * BANDS
 SLACK = 6.0
-#: Documents in a block, about; two blocks of a bucket are compared in one row.
-BLOCK = 64
-#: Texts whose signatures are made at once; each takes some COMPONENTS * (log COMPONENTS + SLACK) points.
-TEXTS = 512
+#: Documents and shingles in a block, about; two blocks of a bucket are compared in one row. A longer text fills its block alone, or with few.
+BLOCK, BLOCK_SHINGLES = 64, 64_000
+#: Texts, and bytes of text, whose signatures are made at once; each text takes some COMPONENTS * (log COMPONENTS + SLACK) points.
+TEXTS, TEXT_BYTES = 256, 1 << 19
+#: Comparisons with one hub in a group of the join that brings its text.
+SHARE = 64
 #: So many document ids may be broadcast to pick their texts (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -116,7 +120,7 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", rows=TEXTS):
+        for batch in slices(whole, "text", TEXT_BYTES, TEXTS):
             raw, at = text_buffers(batch.column("text"))
             words, before = word_hashes(raw, at)
             hashes, bounds = shingles(words, before, WIDTH)
@@ -129,7 +133,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts have a multiset Jaccard of SIMILARITY or more."""
     for whole in batches:
-        for batch in slices(whole, "text_a"):
+        for batch in slices(whole, "text_a", TEXT_BYTES):
             yield from _verified(batch)
 
 
@@ -168,10 +172,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    used = _texts(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
-    a = used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long"), "links")
+    """The links among pairs (hub, doc_id), which are distinct. A hub's text is dealt to groups of SHARE pairs."""
+    used = _texts(texts, pairs.select("doc_id").union(pairs.select("hub")))
+    shares = staged(pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE)), "shares")
+    dealt = lookup(pairs, shares, "hub", "n", pairs.count(), "inner").withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares"))
+    hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), "shares")).alias("share")).join(used.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_b")), "hub")
+    met = dealt.join(used.withColumnRenamed("text", "text_a"), "doc_id").join(hubs, ["hub", "share"])
+    return staged(met.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), "text_a", "text_b").mapInArrow(tidy(_linked), "a long, b long"), "links")
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def _shared(texts: DataFrame) -> DataFrame:
 
     A text shares no more than that with any other, which bounds its similarity from above.
     """
-    rows = staged(texts.mapInArrow(_own, "doc_id long, h long, w long"), "own")
+    rows = staged(texts.mapInArrow(tidy(_own), "doc_id long, h long, w long"), "own")
     lone = rows.filter("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.sum("w").alias("w")).filter("n = 1").groupBy("doc_id").agg(F.sum("w").alias("lone"))
     return rows.filter("h is null").groupBy("doc_id").agg(F.max("w").alias("size")).join(lone, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("shared"))
 
@@ -219,23 +226,22 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(t: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """The multiset overlap of each two of n texts."""
+    """The multiset overlap of each two of n texts; one product for each weight that occurs."""
     names, at = np.unique(h, return_inverse=True)
     out = np.zeros((n, n), np.float32)
     used = np.bincount(at, minlength=len(names)) > 1  # what one text alone has overlaps with nothing
     place = np.cumsum(used) - 1
     on = used[at]
-    for level in range(1, int(w[on].max(initial=0)) + 1):  # min(x, y) counts the levels that both reach
-        reach = on & (w >= level)
-        if not reach.any():
-            break
+    below = 0
+    for level in np.unique(w[on]):  # min(x, y) adds up the steps between weights that both reach
+        reach, step, below = on & (w >= level), float(level - below), level
         cols, col = np.unique(place[at[reach]], return_inverse=True)
         row = t[reach]
         for a in range(0, len(cols), 4096):
             some = (col >= a) & (col < a + 4096)
             has = np.zeros((n, min(4096, len(cols) - a)), np.float32)
             has[row[some], col[some] - a] = 1
-            out += has @ has.T
+            out += step * (has @ has.T)
     return out
 
 
@@ -244,11 +250,11 @@ def _regrouped(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     return crowd.withColumnRenamed("root", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
-def _open(crowd: DataFrame, count: str | None = None) -> DataFrame:
-    """The rows of buckets whose members have several roots; count names a column for the bucket's rows."""
-    apart = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n", F.col("n").alias("__rows"))
-    found = lookup(crowd, apart, "key", "n", crowd.count(), "inner")
-    return staged(found.withColumnRenamed("__rows", count) if count else found.drop("__rows"), "open")
+def _open(crowd: DataFrame, count: str | None = None, weight: str | None = None) -> DataFrame:
+    """The rows of buckets whose members have several roots; count and weight name columns for the bucket's rows and sum of sizes."""
+    more = [*([F.count("*").alias(count)] if count else []), *([F.sum("size").alias(weight)] if weight else [])]
+    apart = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *more).filter("low <> high").drop("low", "high")
+    return staged(lookup(crowd, apart, "key", "n", crowd.count(), "inner"), "open")
 
 
 def _hubs(crowd: DataFrame, *more: str) -> DataFrame:
@@ -258,9 +264,37 @@ def _hubs(crowd: DataFrame, *more: str) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_copies (documents in the class), one row for each doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text", F.length("text")))
-    known = docs.filter("doc_id is not null")
-    marked = staged(known.mapInArrow(_buckets, "key long, digest long, doc_id long").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id")), "buckets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id").distinct()
+    if _unique(docs):
+        roots = _roots(docs.filter("doc_id is not null")).withColumnRenamed("node", "doc_id")
+    else:
+        rows = _rows(docs.filter("doc_id is not null"))
+        first = rows.groupBy("doc_id").agg(F.min("__row").alias("row"), F.count("*").alias("n")).filter("n > 1")
+        own = lookup(rows.select("doc_id", "__row"), first, "doc_id", "n", rows.count(), "inner").filter("__row <> row")
+        found = _roots(rows.select(F.col("__row").alias("doc_id"), "text"), own.select(F.col("__row").alias("a"), F.col("row").alias("b")))
+        named = staged(rows.select(F.col("__row").alias("node"), "doc_id").join(found, "node").select("doc_id", "root").distinct(), "named")
+        least = named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        roots = lookup(named, least, "root", "n", named.count(), "inner").select("doc_id", F.col("least").alias("root"))
+    roots = staged(roots, "roots")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    sized = lookup(roots, sizes.withColumn("n_copies", F.col("n")), "root", "n", roots.count(), "inner")
+    return ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).cast("long").alias("n_copies"))
+
+
+def _unique(docs: DataFrame) -> bool:
+    """Whether no doc_id is repeated, null aside."""
+    return not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _roots(known: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the documents that share a class; known: doc_id, unique, and text. more: further edges (a, b)."""
+    known = known.withColumn("digest", F.xxhash64("text", F.length("text")))
+    marked = staged(known.mapInArrow(tidy(_buckets), "key long, digest long, doc_id long").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id")), "buckets")
     counted = marked.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("met", F.col("n"))
     crowd = staged(lookup(marked.select("key", "doc_id"), counted, "key", "n", marked.count(), "inner"), "crowd")
     texts = staged(_texts(known, crowd.select("doc_id")), "texts")
@@ -268,34 +302,38 @@ def classes(docs: DataFrame) -> DataFrame:
     # members against the one that meets most others over all its buckets
     hubs = _hubs(crowd.join(crowd.groupBy("doc_id").agg(F.sum("met").alias("rank")), "doc_id"))
     met = lookup(crowd.select("key", "doc_id"), hubs, "key", "n", crowd.count(), "inner").filter("doc_id <> hub.doc_id")
-    tested = staged(met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "pairs")
+    tested = staged(met.select("doc_id", F.col("hub.doc_id").alias("hub")).distinct(), "pairs")
     edges = [_verify(tested, texts)]
     crowd = _open(_regrouped(crowd.select("key", "doc_id", F.col("doc_id").alias("root")), nearer(edges[0])))
 
-    # where several roots are left, all that can be similar, in blocks
+    # where several roots are left, all that can be similar, in blocks of bounded documents and shingles
     bounds = _shared(_texts(texts, crowd.select("doc_id")))
-    crowd = _open(staged(crowd.join(bounds, "doc_id").filter(f"shared >= {SIMILARITY} * size - 1e-9"), "able"), "rows")
-    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / BLOCK)))
+    crowd = _open(staged(crowd.join(bounds, "doc_id").filter(f"shared >= {SIMILARITY} * size - 1e-9").select("key", "doc_id", "root", "size"), "able"), "rows", "weight")
+    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("weight") / BLOCK_SHINGLES))))
     blocks = staged(dealt.join(texts, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "root", "text")).alias("docs"), F.min("root").alias("low"), F.max("root").alias("high")), "blocks")
     one = blocks.filter("low <> high").select(F.col("docs").alias("left"), F.lit(None).cast(blocks.schema["docs"].dataType).alias("right"))
     other = blocks.select("key", F.col("block").alias("__block"), F.col("docs").alias("right"), F.col("low").alias("__low"), F.col("high").alias("__high"))
     two = blocks.join(other, "key").filter("block < __block and (low <> high or __low <> __high or low <> __low)").select(F.col("docs").alias("left"), "right")
-    edges.append(staged(one.unionByName(two).mapInArrow(_across, "a long, b long").distinct(), "links"))
+    edges.append(staged(one.unionByName(two).mapInArrow(tidy(_across), "a long, b long").distinct(), "links"))
 
-    # equal texts, which met as one, and documents of several texts
-    worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "digest")
-    copies = worded.groupBy("digest").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).filter("n > 1")
-    same = lookup(worded, copies, "digest", "n", worded.count(), "inner").filter("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    for e in edges:
+    # equal texts, which met as one; md5 so that different ones are never taken for equal
+    worded = known.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.md5("text").alias("copy"))
+    copies = worded.groupBy("copy").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).filter("n > 1")
+    same = lookup(worded, copies, "copy", "n", worded.count(), "inner").filter("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    for e in [*edges, *([more] if more is not None else [])]:
         same = same.unionByName(e)
-    roots = components(same)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    sized = lookup(roots, sizes.withColumn("n_copies", F.col("n")), "root", "n", roots.count(), "inner").withColumnRenamed("node", "doc_id")
-    ids = docs.select("doc_id").distinct()
-    return ids.join(sized, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).cast("long").alias("n_copies"))
+    return components(same)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their class, with their columns; null ids stay."""
-    rest = classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(rest, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each class, with its columns."""
+    kept = docs.columns
+    if _unique(docs) and not docs.filter("doc_id is null").limit(1).count():
+        gone = _roots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).filter("node <> root").select(F.col("node").alias("__gone"))
+        return docs.join(_sized(gone := staged(gone, "gone"), gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = _rows(docs)
+    found = _roots(rows.select(F.col("__row").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).withColumnRenamed("node", "__row")
+    ranked = staged(found.join(rows.select("__row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row").alias("rank")), "__row"), "ranked")
+    best = ranked.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("n"))
+    gone = lookup(ranked, best, "root", "n", ranked.count(), "inner").filter("rank <> best").select(F.col("__row").alias("__gone"))
+    return rows.join(_sized(gone := staged(gone, "gone"), gone.count()), F.col("__row") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in kept))
