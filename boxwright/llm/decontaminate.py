@@ -8,7 +8,9 @@ RADIUS // BLOCKS bits, and all such values of each item's blocks are indexed, so
 of the size within RADIUS. Found pairs are kept at an exact multiset Jaccard of SIMILARITY or more.
 
 The item tables grow with the benchmark alone; they are broadcast while their count is at most
-BROADCAST_ROWS, else joined by shuffle.
+BROADCAST_ROWS, else joined by shuffle. Rows of documents are picked by their 8-byte row_id, broadcast up to
+BROADCAST_IDS of them. The starts of windows are kept as ranges and windows are cut one by one, so a long item in
+a long text needs no more memory than the text.
 
 Cases: null and empty texts have no shingles and are clean; items of fewer than WIDTH words match nothing;
 a text shorter than an item is one window of its own size. Equal rows get equal results. An empty benchmark
@@ -28,7 +30,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 20
 BITS = 64 // BLOCKS
 SLIPS = RADIUS // BLOCKS
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_IDS = 200_000, 1_000_000
 _BIG = 1 << 32
 
 
@@ -81,12 +83,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = places.join(_sized(known, n_known), "x").select("rid", "p", "n")
     anchors = staged(shared.groupBy("rid").agg(F.collect_set(F.col("n") * F.lit(_BIG) + F.col("p")).alias("anchors")), "anchors")
 
-    # all windows of the size that cover such a place
-    found = _sized(anchors, 20 * anchors.count())
-    near = _shingled(rows.join(found, "rid"), "rid", "anchors")
-    starts = f"transform(sequence(cast(greatest(0L, least(a % {_BIG}L - a div {_BIG}L + 1, size(g) - a div {_BIG}L)) as int), cast(greatest(0L, least(a % {_BIG}L, size(g) - a div {_BIG}L)) as int)), s -> (a div {_BIG}L) * {_BIG}L + s)"
-    windows = near.select("rid", F.expr(f"explode_outer(transform(array_distinct(flatten(transform(anchors, a -> {starts}))), e -> struct(cast(e div {_BIG}L as int) as n, slice(g, cast(e % {_BIG}L as int) + 1, cast(e div {_BIG}L as int)) as w)))").alias("e"))
-    windows = windows.select("rid", "e.n", "e.w").withColumn("print", F.expr(_simhash("w", lane)))
+    # all windows of the size that cover such a place: ranges of starts, then starts, then windows
+    n_hit, n_anchors = anchors.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    some = rows if n_hit > BROADCAST_IDS else rows.join(F.broadcast(anchors.select("rid")), "rid", "left_semi")
+    near = _shingled(some.join(_sized(anchors, n_hit + n_anchors), "rid"), "rid", "anchors").select("rid", "g", F.sort_array("anchors").alias("s"))
+    cuts = f"filter(sequence(0, size(s)), i -> i = 0 or i = size(s) or s[i] - s[i - 1] > s[i] div {_BIG}L)"
+    near = near.select("rid", "g", "s", F.expr(cuts).alias("cut"))
+    least, most = f"greatest(0L, least(s[cut[j]] % {_BIG}L - n + 1, size(g) - n))", f"greatest(0L, least(s[cut[j + 1] - 1] % {_BIG}L, size(g) - n))"
+    least, most = (x.replace(" n", " (s[cut[j]] div " + f"{_BIG}L)") for x in (least, most))
+    ranges = near.select("rid", "g", F.expr(f"explode_outer(transform(sequence(0, size(cut) - 2), j -> struct(cast(s[cut[j]] div {_BIG}L as int) as n, cast({least} as int) as low, cast({most} as int) as high)))").alias("r"))
+    starts = ranges.select("rid", "g", "r.n", F.expr("explode_outer(sequence(r.low, r.high))").alias("start"))
+    windows = starts.select("rid", "n", F.expr("slice(g, start + 1, n)").alias("w")).withColumn("print", F.expr(_simhash("w", lane)))
     mask = (1 << BITS) - 1
     probes = windows.select("rid", "n", "w", "print", F.posexplode_outer(F.array(*(F.shiftrightunsigned("print", BITS * b).bitwiseAND(F.lit(mask)) for b in range(BLOCKS)))).alias("block", "value"))
 
@@ -126,4 +133,4 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without such a window, with their columns."""
     found = _found(docs, benchmark).select(F.col("rid").alias("__rid"))
-    return docs.join(_sized(found, found.count()), row_id() == F.col("__rid"), "left_anti")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, row_id() == F.col("__rid"), "left_anti")
