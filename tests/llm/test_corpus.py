@@ -117,6 +117,15 @@ def expected_classes(rows):
     return {d: find(d) for d in ids}
 
 
+def test_overlaps_of_heavy_weights():
+    rng = np.random.default_rng(3)
+    t, h, w = np.repeat(np.arange(6), 50), np.tile(np.arange(50), 6), rng.integers(0, 4, 300) * rng.integers(1, 9000, 300)
+    on = w > 0
+    got = near_dup._overlaps(t[on], h[on].astype(np.uint64), w[on], 6)
+    want = np.minimum(w.reshape(6, 1, 50), w.reshape(1, 6, 50)).sum(axis=2)
+    assert np.array_equal(got, want)
+
+
 def test_near_duplicates(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = expected_classes(rows)
@@ -125,7 +134,14 @@ def test_near_duplicates(docs):
     sizes = Counter(want.values())
     assert all(r.n_copies == sizes[r.class_id] for r in got if r.doc_id is not None)
     kept = near_dup.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*want.values(), None}
+    by_row = expected_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, root in by_row.items():
+        d = rows[k][0]
+        least[root] = min(least.get(root, (True, 0)), (d is None, d or 0))
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(None if null else d for null, d in least.values())
+    usual = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in near_dup.keep_one(usual).collect()} == {r.class_id for r in near_dup.classes(usual).collect()}
     assert near_dup.classes(docs.limit(0)).count() == 0
 
 
