@@ -1,14 +1,19 @@
 """Main text of web pages by composite text density.
 
 A tolerant tokenizer builds the element tree (a block start ends an open paragraph; an end tag ends what is
-open within). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-cut by element, role, class and id. Every remaining node gets characters per tag, lowered by the share of
-link characters; a node's sum is that of its children's densities. The largest sum under body is selected,
-or the article or main element around it; outside an article, blocks below the least density on the path
-from it to body are left out.
+open within). Every node gets a density: characters per tag, lowered by the share of link characters; blocks
+and links count as tags, other markup within a line is text. A node's sum is that of its child blocks'
+densities and of its loose text; without child blocks it is the density itself. The node of the largest sum
+under body (ties: the deepest, then the last) is selected with all it holds. The least density on the path
+from it to body is the threshold: a block beside the path that is denser is selected, too, and so are the
+headings beside the selected node and its neighbours of the same element, unless body is their parent.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, class and
+id) count in the densities of what holds them, but are never selected. Scripts, styles and comments are dropped.
 
 Cases: null and empty pages, and pages without text under body, give an empty text of 0 code points. Broken
-markup never raises. Pages are independent of one another; other columns are ignored.
+markup never raises, and any page takes linear time. Pages are independent of one another, so ties and
+repeated rows need no rule; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +21,15 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+from boxwright.llm.common import tidy
+
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -31,14 +39,18 @@ CUT_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "
 CUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|header|footer|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|pagination|pager|toolbar|skip|search|toc)(?=$|[\s_-])", re.I)
 #: Names that hold the article even where one of CUT_NAMES is in them too.
 KEEP = {"html", "body", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Items end a neighbour of their kind, within the nearest of CONTAINERS.
+ITEMS, CONTAINERS = {"li", "dt", "dd", "tr", "td", "th"}, {"ul", "ol", "dl", "table"}
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "block", "chars", "links", "tags", "linked", "density", "total")
+    __slots__ = ("tag", "parent", "items", "block", "noise", "depth", "chars", "links", "tags", "linked", "loose", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items, self.block = tag, parent, [], tag not in INLINE
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+        self.tag, self.parent, self.items, self.block, self.noise = tag, parent, [], tag not in INLINE, noise
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -53,136 +65,185 @@ def is_noise(tag: str, attrs: dict[str, str]) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in CUT_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None or any(CUT_NAMES.search(attrs.get(k, "")) for k in ("class", "id"))
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that starts at at ends (its >, quoted ones aside), or -1; last: the last place of > and of each quote."""
+    first = -1
+    while at <= last[">"]:
+        end = page.find(">", at)
+        first = end if first < 0 else first
+        quote = min((q for q in (page.find('"', at, end), page.find("'", at, end)) if q >= 0), default=-1)
+        if quote < 0:
+            return end
+        if quote >= last[page[quote]]:  # it is never closed
+            break
+        at = page.find(page[quote], quote + 1) + 1
+    return first
+
+
+class Tree:
+    """The open elements of a page that is being read."""
+
+    def __init__(self):
+        self.root = self.node = Node("body", None)
+        self.open: Counter[str] = Counter()
+        self.kinds: list[Node] = []  # open items and containers
+
+    def text(self, text: str) -> None:
+        if text:
+            self.node.items.append(text)
+
+    def add(self, tag: str, void: bool, noise: bool = False) -> None:
+        child = Node(tag, self.node, noise)
+        self.node.items.append(child)
+        if not void:
+            self.node = child
+            self.open[tag] += 1
+            if tag in ITEMS or tag in CONTAINERS:
+                self.kinds.append(child)
+
+    def close(self, until: Node) -> None:
+        """End until and all that is open within it."""
+        while True:
+            node, self.node = self.node, self.node.parent
+            self.open[node.tag] -= 1
+            if self.kinds and self.kinds[-1] is node:
+                self.kinds.pop()
+            if node is until:
+                return
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            node = self.node
+            while node.tag != tag:
+                node = node.parent
+            self.close(node)
+        elif tag in ("p", "br"):
+            self.node.items.append(Node(tag, self.node))
+
+    def start(self, tag: str, attrs: dict[str, str], void: bool) -> None:
+        if tag not in INLINE and not void and self.open["p"]:
+            node = self.node
+            while node.parent and not node.block:
+                node = node.parent
+            if node.tag == "p":  # a block ends an open paragraph, and what is open in it
+                self.close(node)
+        if tag in ITEMS:
+            for node in reversed(self.kinds):
+                if node.tag in CONTAINERS:
+                    break
+                if node.tag == tag:
+                    self.close(node)
+                    break
+        self.add(tag, void, is_noise(tag, attrs))
+
+
 def parse(page: str) -> Node:
-    """The element tree without noise."""
-    root = node = Node("body", None)
-    skip: list[str] = []  # open elements within noise, the noise first
-    at = 0
-    lower = None
+    """The element tree."""
+    tree, at, lower = Tree(), 0, None
+    last = {c: page.rfind(c) for c in ">\"'"}
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if not skip and (text := page[at : m.start() if m else len(page)]):
-            node.items.append(text)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
+            tree.text(page[at:])
             break
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if page.startswith("<!--", start):
+            tree.text(page[at:start])
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
             continue
-        tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            if skip:
-                if tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
-                elif tag in KEEP:
-                    skip.clear()
-                else:
-                    continue
-                if skip or tag not in KEEP:
-                    continue
-            up = node
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent and up.tag == tag:
-                node = up.parent
-            elif tag in ("p", "br"):
-                node.items.append(Node(tag, node))
+        name = NAME.match(page, start)
+        if not name and not page.startswith(("<!", "<?"), start):
+            tree.text(page[at : start + 1])
+            at = start + 1
             continue
-        if tag in RAW:
+        end = tag_end(page, name.end() if name else start, last) if name else page.find(">", start)
+        if end < 0:
+            tree.text(page[at:] if name else page[at:start])
+            break
+        tree.text(page[at:start])
+        at = end + 1
+        if not name:
+            continue
+        tag, rest = name[1].lower(), page[name.end() : end]
+        if page[start + 1] == "/":
+            if tag not in ("html", "body"):
+                tree.end(tag)
+        elif tag in RAW:
             if lower is None:
                 lower = page.lower()
-            end = lower.find(f"</{tag}", at) if len(lower) == len(page) else (e.start() if (e := re.compile(f"</{tag}", re.I).search(page, at)) else -1)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
-            continue
-        void = tag in VOID or rest.endswith("/") and tag not in INLINE and tag in ("svg", "path")
-        if skip:
-            if not void:
-                skip.append(tag)
-            continue
-        if tag in ("html", "body"):
-            continue
-        attrs = attributes(rest)
-        if tag not in INLINE and not void and (tag not in ("br",)):
-            up = node
-            while up.parent and up.tag != "p" and not (up.block and up.tag not in ("p",)):
-                up = up.parent
-            if up.tag == "p" and up.parent:  # a block ends an open paragraph, and what is open in it
-                node = up.parent
-            if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                up = node
-                while up.parent and up.tag != tag and up.tag not in ("ul", "ol", "dl", "table"):
-                    up = up.parent
-                if up.tag == tag:
-                    node = up.parent
-        if is_noise(tag, attrs):
-            if not void:
-                skip.append(tag)
-            elif tag == "hr":
-                node.items.append(Node(tag, node))
-            continue
-        child = Node(tag, node)
-        node.items.append(child)
-        if not void:
-            node = child
-    return root
+            close = lower.find(f"</{tag}", at) if len(lower) == len(page) else (m.start() if (m := re.compile(f"</{tag}", re.I).search(page, at)) else -1)
+            at = len(page) if close < 0 else (page.find(">", close) + 1 or len(page))
+        elif tag not in ("html", "body"):
+            tree.start(tag, attributes(rest), tag in VOID or rest.endswith("/") and tag in ("svg", "path"))
+    return tree.root
 
 
 def measure(root: Node) -> list[Node]:
-    """Characters, link characters, tags and link tags of every node, then its density and its children's sum."""
+    """Characters, link characters, tags and link tags of every node, then its density and its sum; parents come first."""
     order = [root]
-    for n in order:  # parents before children
+    for n in order:
         order += [x for x in n.items if isinstance(x, Node)]
     for n in reversed(order):
         kids = [x for x in n.items if isinstance(x, Node)]
-        n.chars = sum(len(html.unescape(x).strip()) for x in n.items if isinstance(x, str)) + sum(k.chars for k in kids)
-        n.tags = len(kids) + sum(k.tags for k in kids)
+        own = sum(len(html.unescape(x).strip()) for x in n.items if isinstance(x, str))
+        n.chars = own + sum(k.chars for k in kids)
+        n.tags = sum(k.tags + (k.block or k.tag == "a") for k in kids)
         n.links = n.chars if n.tag == "a" else sum(k.links for k in kids)
         n.linked = (n.tag == "a") + sum(k.linked for k in kids)
-    whole = max(root.chars, 1)
+        n.loose = 0 if n.tag == "a" else own + sum(k.loose for k in kids if not k.block and not k.noise)
     for n in order:
         c, lc, t, lt = n.chars, n.links, max(n.tags, 1), max(n.linked, 1)
-        base = math.log(c / max(c - lc, 1) * lc + root.links / whole * c + math.e)
+        base = math.log(c / max(c - lc, 1) * lc + root.links / max(root.chars, 1) * c + math.e)
         adjusted = math.log(max(c / max(lc, 1) * t / lt, 1.0)) / math.log(max(base, 1.0001)) if lc else 1.0
         n.density = c / t * min(adjusted, 1.0)
     for n in reversed(order):
-        kids = [x for x in n.items if isinstance(x, Node)]
-        n.total = sum(k.density for k in kids) if kids else n.density
+        kids = [x for x in n.items if isinstance(x, Node) and x.block and not x.noise and x.chars]
+        n.total = sum(k.density for k in kids) + n.loose if kids else n.density
     return order
 
 
-def blocks(node: Node, least: float, out: list[list[str]]) -> None:
-    """Text of the blocks under node in page order; block elements of less density than least are left out."""
-    todo: list = [node]
-    while todo:
-        x = todo.pop()
-        if x is None:
-            out.append([])
-        elif isinstance(x, str):
-            out[-1].append(x)
-        elif x.tag == "br":
-            out[-1].append(" ")
-        elif x is node or not x.block or x.density >= least:
-            edge = [None] if x.block else []
-            todo += [*edge, *reversed(x.items), *edge]
+def selected(root: Node) -> set[int]:
+    """Identities of the nodes that are selected with all they hold, noise aside."""
+    order, noisy = measure(root), set()
+    best = root
+    for n in order:
+        if n.noise or id(n.parent) in noisy:
+            noisy.add(id(n))
+        elif (n.total, n.depth) >= (best.total, best.depth):
+            best = n
+    path = [best]
+    while path[-1].parent:
+        path.append(path[-1].parent)
+    least, out = min(n.density for n in path), {id(best)}
+    for node in path[:-1]:
+        for x in node.parent.items:
+            if isinstance(x, Node) and x is not node and x.block and not x.noise:
+                beside = node is best and node.parent is not root and (x.tag in HEADINGS or node.block and x.tag == node.tag)
+                if x.density > least or beside:
+                    out.add(id(x))
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = measure(root)
-    best = max(order, key=lambda n: n.total)
-    least, up, around = best.density, best, None
-    while up:
-        least = min(least, up.density)
-        if up.tag in ("article", "main") and up.chars:
-            around = up
-        up = up.parent
-    if around is None:
-        around = max((n for n in order if n.tag in ("article", "main")), key=lambda n: n.chars, default=None)
-        around = around if around and 2 * around.chars >= root.chars else None
+    chosen = selected(root)
     out: list[list[str]] = [[]]
-    blocks(around or root, 0.0 if around else least, out)
+    todo: list = [(root, False)]
+    while todo:
+        x, on = todo.pop()
+        if x is None:
+            out.append([])
+        elif isinstance(x, str):
+            if on:
+                out[-1].append(x)
+        elif x.tag == "br":
+            out[-1].append(" ")
+        elif not x.noise:
+            on = on or id(x) in chosen
+            edge = [(None, on)] if x.block else []
+            todo += [*edge, *((y, on) for y in reversed(x.items)), *edge]
     return " ".join(t for b in out if (t := " ".join(html.unescape("".join(b)).split())))
 
 
@@ -194,4 +255,4 @@ def extract(pages: DataFrame) -> DataFrame:
             found = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), SCHEMA)
