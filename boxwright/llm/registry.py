@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boxwright.llm import attention_lm, chat, decontaminate, main_text, near_dup, pii, piece_codec, quality, repeated_units, token_shards
+from boxwright.llm import attention_lm, chat, decontaminate, main_text, near_dup, oracles, pii, piece_codec, quality, repeated_units, token_shards
 from boxwright.llm.common import shipped
 
 PIECES, BYTES, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
@@ -56,4 +56,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_repeated_units, op4_personal_data, op5_token_shards, op6_near_duplicates, op7_language_model, op8_decontamination, op9_chat_rotation, op10_main_text)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": oracles.OP2, "op9_chat_rotation": oracles.OP9}
