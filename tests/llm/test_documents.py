@@ -207,11 +207,59 @@ def test_main_text():
     assert main_text.main_text(plain).startswith("Long text") and not main_text.main_text(plain).endswith("y")
 
 
-def test_pages_equal_their_article(spark):
-    """In the driver's pages the main text is the article element's."""
+def article_text(page):
     import html
 
+    article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<(?!/?b\b)[^>]*>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+
+
+def test_pages_equal_their_article(spark):
+    """In the driver's pages the main text is the article element's, whose name does not matter."""
     for r in registry.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
-        assert r.text == " ".join(html.unescape(re.sub(r"<(?!/?b\b)[^>]*>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+        assert r.text == article_text(r.html) == main_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>"))
         assert r.n_chars == len(r.text)
+
+
+def test_density_decides(monkeypatch):
+    long, short = "<p>" + "Long text goes here. " * 20 + "</p>", "<p>Short one.</p>"
+    want = " ".join(["Long text goes here. " * 19 + "Long text goes here."] * 3)
+    rest = "<div>" + "".join(f"<div><a href=x>Other story {k}</a></div>" for k in range(9)) + "</div>"
+    page = f"<body>{rest}<div><div>{long}{short}{long}{long}</div></div>{rest}<div>{short}</div></body>"
+    got = main_text.main_text(page)
+    assert got.count("Short one.") == 1 and "Other" not in got and len(got) == len(want) + len(" Short one.")
+    sections = "".join(f"<section><h2>Part {k}</h2>{long}{long}</section>" for k in range(3))
+    got = main_text.main_text(f"<body>{rest}<div><h1>Title</h1>{sections}</div>{rest}</body>")
+    assert got.startswith("Title Part 0 Long") and got.count("Long text") == 120 and "Part 2" in got and "Other" not in got
+    measure = main_text.measure
+
+    def flat(root):
+        order = measure(root)
+        for n in order:
+            n.density = n.total = 1
+        return order
+
+    monkeypatch.setattr(main_text, "measure", flat)
+    assert main_text.main_text(page) != got
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", '<a href="', '<a x=">', "<b><div></div>", "<li><ul><b>", "<nav><div>", "</x>", "<!--", "<", "<p><b>", "<td><li>", "<script>", "&amp;"])
+def test_main_text_is_linear(part):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        page = "<div>" * (n // 20) + "<b>" * (n // 20) + part * (n // len(part)) + "</x>" * (n // 20)
+        began = time.process_time()
+        main_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.3
+
+
+def test_main_text_of_odd_tables(spark):
+    article = "<body><nav><a href=x>x</a></nav><div>" + "<p>Some words of it.</p>" * 30_000 + "</div></body>"
+    rows = [(1, "u", None, 5), (2, None, "", 5), (3, "u", article, 5), (3, "u", article, 5), (None, "u", "<p>x", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    text = " ".join(["Some words of it."] * 30_000)
+    equal(main_text.extract(pages), [(1, "u", "", 0), (2, None, "", 0), *[(3, "u", text, len(text))] * 2, (None, "u", "x", 1)])
+    assert main_text.extract(pages.limit(0)).count() == 0
