@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from boxwright.llm import repeated_units
@@ -25,7 +26,7 @@ def units(text):
     return [(" ".join(m[0] for m in u).translate({c: c + 32 for c in range(65, 91)}), u[0].start(), u[-1].end(), len(u)) for u in [*out, now] if u]
 
 
-def expected(rows):
+def expected(rows, min_words=repeated_units.MIN_WORDS):
     first, spans = set(), defaultdict(list)
     for doc, text in sorted({(d, t) for d, t in rows if d is not None and t}):
         run = []
@@ -35,7 +36,7 @@ def expected(rows):
                 continue
             if u:
                 first.add(u[0])
-            if sum(x[3] for x in run) >= repeated_units.MIN_WORDS:
+            if sum(x[3] for x in run) >= min_words:
                 spans[doc, text].append((run[0][1], run[-1][2]))
             run = []
     return spans
@@ -52,6 +53,8 @@ def test_repeated_units(spark):
     by = {d: s for (d, _), s in want.items()}
     assert {d: r.spans for d, r in got.items()} == {d: ",".join(f"{a}:{b}" for a, b in by.get(d, [])) for d in got}
     assert all(r.removed_chars == sum(b - a for a, b in by.get(d, [])) and r.n_spans == len(by.get(d, [])) for d, r in got.items())
+    every = {d: s for (d, _), s in expected(rows, 1).items()}
+    assert {r.doc_id: r.spans for r in repeated_units.find(docs, 1).collect()} == {d: ",".join(f"{a}:{b}" for a, b in every.get(d, [])) for d in got}
     cut = repeated_units.cut(docs)
     assert cut.columns == docs.columns
 
@@ -64,6 +67,15 @@ def test_repeated_units(spark):
     assert repeated_units.find(docs.limit(0)).count() == 0
 
 
+def test_check_tells_colliding_texts_apart():
+    """Two texts whose polynomials modulo 2**64 are equal, whatever stands for the letters."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    _, digest, check, *_ = repeated_units.units(pa.array([a, b, a]))
+    assert digest[0] == digest[1] == digest[2] and check[0] != check[1] and check[0] == check[2]
+
+
 def test_two_texts_of_one_id(spark):
     """One of the two keeps the passage and the other loses it, whichever ranks first, after 5000 is gone."""
     df = spark.createDataFrame([r for r in ROWS if r[0] == 5007], "doc_id long, text string")
