@@ -6,11 +6,15 @@ record for each document (doc_id, whether it is null, frame offset and length, n
 index's offset and the number of documents as two u64. Ids are u16 where the vocabulary allows, u32 else. A reader
 fetches the index and one frame for one document.
 
-The dictionary is trained on SAMPLE_DOCS documents (smallest hash of doc_id, at most SAMPLE_IDS ids of
-each); all documents are encoded and written whole. A shard is written under a name of its own and renamed,
-so a task that is tried again leaves the same file.
-
-Cases: null and empty texts have just the end id. Without documents there is no shard.
+The dictionary is trained on SAMPLES pieces of texts, drawn from all documents and places: texts are thought
+of as pieces of SAMPLE_CHARS code points, and those of the smallest hash of (doc_id, place) are taken. All
+documents are encoded and written whole. A shard is written under a name of its own and renamed, so a task
+that is tried again leaves the same file. Tasks are dealt by ranges of doc_id, so many that each has about
+TASK_BYTES of text.
+
+Cases: null and empty texts have just the end id. Without documents there is no shard. Rows of one doc_id are
+written each, in the order of a hash of the text, then the text; equal rows are interchangeable. A long text is
+one frame. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import least_hashes, staged, work_dir
+from boxwright.llm.common import least_hashes, staged, tidy, work_dir
 
 MAGIC = b"BWTOKENS"
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
-SHARD_BYTES, LEVEL = 4 << 20, 3
+SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 16_384, 64 << 10
+SHARD_BYTES, TASK_BYTES, LEVEL = 4 << 20, 64 << 20, 3
 INDEX = np.dtype([("doc", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4"), ("n", "<u8")])
 SHARDS = "part int, seq int, path string, n_docs long, start long, n_ids long"
 READ = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -162,9 +166,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = No
         spec = spark.sparkContext.broadcast(f.read())
     to = to or work_dir(spark, "tokens")
     width = 2 if max(vocabulary(spec.value), end_id + 1) <= 1 << 16 else 4
-    picked = least_hashes(docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")), ["doc_id"], SAMPLE_DOCS, ["text"])
+    places = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((greatest(1, length(text)) - 1) div {SAMPLE_CHARS})"))).alias("place"))
+    picked = least_hashes(places, ["doc_id", "place"], SAMPLES, [F.expr(f"substring(text, place * {SAMPLE_CHARS} + 1, {SAMPLE_CHARS})").alias("text")])
     encode = encoder(spec.value, added)
-    dictionary = train_dictionary([np.asarray([*encode(r.text or ""), end_id][:SAMPLE_IDS], f"<u{width}").tobytes() for r in picked])
+    dictionary = train_dictionary([np.asarray([*encode(r.text or ""), end_id], f"<u{width}").tobytes() for r in picked])
     files, base = pyarrow.fs.FileSystem.from_uri(to)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/dictionary.zstd") as f:
@@ -199,10 +204,12 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None = No
             yield flush()
 
     out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64())])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # text breaks ties, so that equal ids come in one order whoever sorts them
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    return staged(ordered.mapInArrow(run, SHARDS), "shards"), dictionary, to
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # the hash and the text break ties, so that equal ids come in one order whoever sorts them, and may fall to several tasks
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(n, F.asc_nulls_first("doc_id"), "hash", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash", "text")
+    return staged(ordered.select("doc_id", "text").mapInArrow(tidy(run), SHARDS), "shards"), dictionary, to
 
 
 def finish(shards: DataFrame, dictionary: bytes, to: str) -> dict[int, int]:
@@ -235,8 +242,8 @@ def read(shards: DataFrame, dictionary: bytes, to: str, before: dict[int, int])
                 crc = [zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in range(len(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), r["part"], np.int32)), pa.array(shard.index["doc"], mask=shard.index["null"].astype(bool)), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shards.select("part", "start", "path").repartition(n, "path").mapInArrow(run, READ).drop("part")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards.count() * SHARD_BYTES // TASK_BYTES)
+    return shards.select("part", "start", "path").repartition(n, "path").mapInArrow(tidy(run), READ).drop("part")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, added: bool = False) -> DataFrame:
