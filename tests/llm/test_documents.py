@@ -175,12 +175,11 @@ def test_personal_data_random(seed):
 def test_token_shards(docs, rows):
     path = public_tokenizers.path(registry.BYTES)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for _, x in ordered]
     starts = [0, *accumulate(map(len, ids))]
     expected = [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), s, i in zip(ordered, starts, ids, strict=False)]
-    equal(token_shards.write_and_read(docs, path, 2), expected)
+    equal(token_shards.write_and_read(docs, path, 2, added=True), expected)
     assert token_shards.write_and_read(docs.limit(0), path, 2).count() == 0
 
 
