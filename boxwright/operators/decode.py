@@ -49,9 +49,13 @@ def best_class(score: Callable[[Column], Column], classes: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(classes - 1)), none, step)
 
 
-def _rows(df: DataFrame, objects: Column, extra: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    found = df.select("image_id", *keep, F.posexplode(objects).alias("rank", "o"))
-    return found.select("image_id", *keep, F.col("rank").cast("long").alias("rank"), F.col("o.index").cast("long").alias("index"), F.col("o.label_index").cast("long").alias("label_index"), "o.label", "o.confidence", "o.box", *(f"o.{c}" for c in extra))
+def _rows(df: DataFrame, objects: Column, extra: tuple[str, ...] = (), finish: Callable | None = None) -> DataFrame:
+    """The objects of each row, exploded. finish: a step of segmentation that gives them masks before that."""
+    if finish is not None:
+        df = finish(df.select("image_id", "lb", finish.column, objects.alias("objects")))
+        objects, extra = F.col("objects"), (*(x for x in extra if x not in ("model_box", "weights")), "mask")
+    found = df.select("image_id", F.posexplode(objects).alias("rank", "o"))
+    return found.select("image_id", F.col("rank").cast("long").alias("rank"), F.col("o.index").cast("long").alias("index"), F.col("o.label_index").cast("long").alias("label_index"), "o.label", "o.confidence", "o.box", *(f"o.{c}" for c in extra))
 
 
 def _points(x: Callable[[Column, int], Column], lb: Column, count: int) -> Column:
@@ -61,7 +65,7 @@ def _points(x: Callable[[Column, int], Column], lb: Column, count: int) -> Colum
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(g.scale_x(x(j, 0), lb).cast("double").alias("x"), g.scale_y(x(j, 1), lb).cast("double").alias("y"), F.coalesce(x(j, 2), F.lit(0.0)).alias("confidence")))
 
 
-def v8(df: DataFrame, labels: list[str], predictions: int, conf: float = 0.2, iou: float = 0.7, task: str = "detect", key_points: int = 0, channels: int = 0) -> DataFrame:
+def v8(df: DataFrame, labels: list[str], predictions: int, conf: float = 0.2, iou: float = 0.7, task: str = "detect", key_points: int = 0, channels: int = 0, finish: Callable | None = None) -> DataFrame:
     """Attribute-major heads: centre, size, class scores, then angle, key points or mask weights."""
     data, lb, n = F.col("data"), F.col("lb"), len(labels)
     at, names = by_attribute(data, predictions), _names(labels)
@@ -85,7 +89,7 @@ def v8(df: DataFrame, labels: list[str], predictions: int, conf: float = 0.2, io
 
     candidates = F.filter(F.transform(F.sequence(F.lit(0), F.lit(predictions - 1)), scored), lambda s: (s["best"]["label"] >= 0) & (s["best"]["score"] >= conf))
     extra = {"detect": (), "obb": ("angle",), "pose": ("key_points",), "segment": ("model_box", "weights")}[task]
-    return _rows(df, nms.fold(F.transform(candidates, built), iou), extra, ("data", "lb") if task == "segment" else ())
+    return _rows(df, nms.fold(F.transform(candidates, built), iou), extra, finish)
 
 
 def v8_key_points(attributes: int, input_channels: int, classes: int) -> int:
@@ -93,7 +97,7 @@ def v8_key_points(attributes: int, input_channels: int, classes: int) -> int:
     return attributes // input_channels - classes
 
 
-def flat(df: DataFrame, labels: list[str], conf: float = 0.2, stride: int = 6, task: str = "detect", channels: int = 0) -> DataFrame:
+def flat(df: DataFrame, labels: list[str], conf: float = 0.2, stride: int = 6, task: str = "detect", channels: int = 0, finish: Callable | None = None) -> DataFrame:
     """Row-major heads that have been suppressed already: x1, y1, x2, y2, score, class, and more by task.
 
     obb has centre and size first and the angle after the class. A partial row at the end counts where it
@@ -122,7 +126,7 @@ def flat(df: DataFrame, labels: list[str], conf: float = 0.2, stride: int = 6, t
     passing = F.filter(every, lambda i: ~(at(i, 4) < conf))  # a NaN score passes
     objects = F.filter(F.transform(passing, built), lambda o: o["label"].isNotNull())
     extra = {"detect": (), "obb": ("angle",), "pose": ("key_points",), "segment": ("model_box", "weights")}[task]
-    return _rows(df, objects, extra, ("data", "lb") if task == "segment" else ())
+    return _rows(df, objects, extra, finish)
 
 
 def rtdetr(df: DataFrame, labels: list[str], predictions: int, conf: float = 0.2) -> DataFrame:
@@ -159,7 +163,7 @@ def top_pairs(logits: Column, predictions: int, classes: int) -> Column:
     return F.transform(best, lambda s: F.struct((-s["rank"]).cast("double").alias("score"), s["pair"].alias("pair")))
 
 
-def rfdetr(df: DataFrame, labels: list[str], predictions: int, classes: int, conf: float = 0.2) -> DataFrame:
+def rfdetr(df: DataFrame, labels: list[str], predictions: int, classes: int, conf: float = 0.2, finish: Callable | None = None) -> DataFrame:
     """Boxes and class logits in two tensors (boxes, logits): the best pairs, then threshold, background, labels.
 
     index is the place of the box and of its mask.
@@ -175,7 +179,7 @@ def rfdetr(df: DataFrame, labels: list[str], predictions: int, classes: int, con
         return F.struct(p.alias("index"), label.alias("label_index"), F.get(names, label).alias("label"), s["score"].alias("confidence"), b.alias("box"))
 
     objects = F.transform(F.filter(top_pairs(F.col("logits"), predictions, classes), lambda s: s["score"] >= conf), built)
-    return _rows(df, F.filter(objects, lambda o: (o["label_index"] != background) & o["label"].isNotNull()))
+    return _rows(df, F.filter(objects, lambda o: (o["label_index"] != background) & o["label"].isNotNull()), finish=finish)
 
 
 def classify(df: DataFrame, labels: list[str], k: int = 5) -> DataFrame:
@@ -191,3 +195,16 @@ def decoder(version: str, task: str) -> str:
     if task not in SUPPORT.get(version, ()):
         raise ValueError(f"{version} does not support {task}")
     return FAMILY[version]
+
+
+def mixed(tensors: DataFrame, column: str, decoders: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Tensors of several layouts: each row goes through the decoder that column names, and the detections are put together.
+
+    Fields that a decoder lacks are null; a row that names no decoder raises.
+    """
+    names = F.when(F.col(column).isin([*decoders]), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("no such decoder: "), F.coalesce(column, F.lit("null")))))
+    parts = [run(tensors.filter(names == name)) for name, run in decoders.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

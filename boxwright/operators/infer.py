@@ -48,19 +48,23 @@ def tensor(image: np.ndarray, box: dict, model_w: int, model_h: int, mean=None,
 
 
 def preprocess(images: DataFrame, model_w: int, model_h: int, mode: str = "proportional", mean=None, std=None, pad: str = "black") -> DataFrame:
-    """image_id, lb and tensor of images: image_id, width, height, n_channels, data (row-major bytes), roi or not."""
+    """image_id, lb and tensor of images: image_id, width, height, n_channels, data (row-major bytes), roi or not.
+
+    Channels come red first, unless a column bgr says that an image has them blue first.
+    """
     roi = F.col("roi") if "roi" in images.columns else None
     rect = roi_rect(F.col("width"), F.col("height"), roi) if roi is not None else F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("width"), F.col("height").alias("height"))
     placed = images.withColumn("__rect", rect).withColumn("lb", letterbox(F.col("__rect.width"), F.col("__rect.height"), model_w, model_h, mode, roi))
-    placed = placed.select("image_id", "width", "height", "n_channels", "data", "__rect", "lb")
+    bgr = F.coalesce("bgr", F.lit(False)) if "bgr" in images.columns else F.lit(False)
+    placed = placed.select("image_id", "width", "height", "n_channels", "data", bgr.alias("bgr"), "__rect", "lb")
     schema = T.StructType([placed.schema["image_id"], placed.schema["lb"], T.StructField("tensor", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for r in batch.select(["width", "height", "n_channels", "data", "__rect", "lb"]).to_pylist():
+            for r in batch.select(["width", "height", "n_channels", "data", "bgr", "__rect", "lb"]).to_pylist():
                 image = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
-                image = np.repeat(image, 3, 2) if r["n_channels"] == 1 else image
+                image = np.repeat(image, 3, 2) if r["n_channels"] == 1 else image[..., 2::-1] if r["bgr"] else image
                 c = r["__rect"]
                 found.append(tensor(image[c["y"] : c["y"] + c["height"], c["x"] : c["x"] + c["width"]], r["lb"], model_w, model_h, mean, std, pad).ravel())
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("lb"), pa.array(found, pa.list_(pa.float32()))], ["image_id", "lb", "tensor"])
@@ -68,6 +72,12 @@ def preprocess(images: DataFrame, model_w: int, model_h: int, mode: str = "propo
     return placed.mapInArrow(run, schema)
 
 
+def views(column: pa.Array) -> list[np.ndarray]:
+    """Each list of a column of numbers as an array over Arrow's own memory; a null is empty."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist(), strict=True)]
+
+
 def onnx_model(model: bytes, threads: int = 1) -> Callable[[np.ndarray], dict[str, np.ndarray]]:
     """A function from an input tensor to outputs by name; one session for each Python worker."""
     import onnxruntime as ort
@@ -89,7 +99,7 @@ def predict(tensors: DataFrame, model: bytes, shape: tuple[int, ...], outputs: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = load(held.value)
         for batch in batches:
-            rows = [call(np.asarray(x, np.float32).reshape(1, *shape)) for x in batch.column(column).to_pylist()]
+            rows = [call(np.asarray(x, np.float32).reshape(1, *shape)) for x in views(batch.column(column))]
             found = [pa.array([r[o].astype(np.float32).ravel() for r in rows], pa.list_(pa.float32())) for o in outputs]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *found], [*(f.name for f in kept), *outputs])
 

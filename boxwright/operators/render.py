@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from boxwright.functions import geometry as g
 
-# Default colours in order, and default skeleton lines between key points.
+# Default colours in order, the colour (r, g, b, a) of unreadable texts, and default skeleton lines between key points.
+UNREADABLE = (34, 197, 94, 128)
 COLOURS = ["#22c55e", "#3b82f6", "#f97316", "#e11d48", "#8b5cf6", "#14b8a6", "#f59e0b", "#06b6d4"]
 SKELETON = [(5, 7), (7, 9), (6, 8), (8, 10), (5, 6), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16), (0, 1), (0, 2), (1, 3), (2, 4)]
 LEAST_POINT = 0.25
@@ -27,13 +28,18 @@ def channels(hex_colour: Column, alpha: Column) -> Column:
 
 
 def parsed_colour(text: Column) -> Column:
-    """r, g, b and a (0..255) of #rrggbb, rgb(...) or rgba(...); a translucent green for anything else."""
-    parts = F.transform(F.split(F.regexp_extract(text, r"rgba?\(([^)]+)\)", 1), ","), lambda x: F.trim(x).try_cast("double"))
+    """r, g, b and a (0..255) of #rrggbb, rgb(...) or rgba(...); UNREADABLE for anything else."""
+    # a word that ends in rgb or rgba, then numbers in brackets
+    word, open_ = F.substring_index(text, "(", 1), F.instr(text, "(")
+    rest = F.substring(text, open_ + 1, F.length(text))
+    inner = F.substring_index(rest, ")", 1)
+    listed = (open_ > 0) & (word.endswith("rgb") | word.endswith("rgba")) & rest.contains(")") & (inner != "")
+    parts = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("double"))
     at = lambda k, default: F.coalesce(F.get(parts, F.lit(k)), F.lit(float(default)))
     own = channels(text, F.lit(255))
     struct = lambda r, gr, b, a: F.struct(*(c.cast("double").alias(n) for c, n in ((r, "r"), (gr, "g"), (b, "b"), (a, "a"))))
-    written = struct(at(0, 34), at(1, 197), at(2, 94), g.half_up(at(3, 1) * 255))
-    return F.when(own.isNotNull(), struct(own["r"], own["g"], own["b"], F.lit(255))).when(text.rlike(r"rgba?\([^)]+\)"), written).otherwise(struct(*map(F.lit, (34, 197, 94, 128))))
+    written = struct(*(at(k, UNREADABLE[k]) for k in range(3)), g.half_up(at(3, 1) * 255))
+    return F.when(own.isNotNull(), struct(own["r"], own["g"], own["b"], F.lit(255))).when(listed, written).otherwise(struct(*map(F.lit, UNREADABLE)))
 
 
 def opacity(result: Column, boxes: Column) -> Column:
@@ -50,9 +56,10 @@ def caption(name: Column, confidence: Column, bracketed: bool = False) -> Column
 
 
 def font_size(font: Column) -> Column:
-    """Pixels of a font text such as 'bold 18px serif'; 14 without any."""
-    found = F.regexp_extract(font, r"(\d+(?:\.\d+)?)px", 1)
-    return F.when(F.length(found) > 0, found.cast("double")).otherwise(14.0)
+    """Pixels of a font text such as 'bold 18px serif': the first number that px follows; 14 without any."""
+    pieces = F.split(font, "px")
+    sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.regexp_extract(x, "[0-9]+([.][0-9]+)?$", 0).try_cast("double"))
+    return F.coalesce(F.get(F.filter(sizes, lambda x: x.isNotNull()), F.lit(0)), F.lit(14.0))
 
 
 def margin(size: Column) -> Column:
@@ -111,6 +118,33 @@ def mask_pixels(segments: DataFrame, alpha: int = 64) -> DataFrame:
     return on.select("image_id", "rank", (b["left"] + F.col("__pixel") % F.col("__width")).alias("x"), (b["top"] + F.floor(F.col("__pixel") / F.col("__width"))).alias("y"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(alpha).alias("a"))
 
 
+def mask_edges(segments: DataFrame, thickness: int = 2) -> DataFrame:
+    """image_id, rank, left, top, right, bottom, colour: a square of thickness around every point of edge_points."""
+    p, off = F.col("p"), (thickness - 1) // 2
+    each = segments.select("image_id", "rank", colour(F.col("label_index")).alias("colour"), F.explode("edge_points").alias("p"))
+    return each.select("image_id", "rank", (p["x"] - off).alias("left"), (p["y"] - off).alias("top"), (p["x"] - off + thickness).alias("right"), (p["y"] - off + thickness).alias("bottom"), "colour")
+
+
+def segment_layers(segments: DataFrame, mask: bool = True, contour: bool = True, boxes: bool = True, label: bool = True, alpha: int = 64, thickness: int = 2) -> DataFrame:
+    """The layers of a drawing of segments: image_id, layer (in drawing order), rank, kind, left, top, right, bottom, colour, alpha, caption.
+
+    Masks are pixels, contours squares, boxes rectangles; boxes are drawn unless both boxes and label are off.
+    """
+    one = lambda k, kind, df, a, caption: df.select("image_id", F.lit(k).alias("layer"), "rank", F.lit(kind).alias("kind"), *(F.col(s).cast("double").alias(s) for s in ("left", "top", "right", "bottom")), "colour", F.lit(a).alias("alpha"), caption.cast("string").alias("caption"))
+    none, out = F.lit(None), []
+    if mask:
+        pixels = mask_pixels(segments, alpha)
+        out.append(one(0, "mask", pixels.select("image_id", "rank", F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + 1).alias("right"), (F.col("y") + 1).alias("bottom"), F.lower(F.format_string("#%02x%02x%02x", "r", "g", "b")).alias("colour")), alpha, none))
+    if contour:
+        out.append(one(1, "contour", mask_edges(segments, thickness), 255, none))
+    if boxes or label:
+        out.append(one(2, "box", rectangles(segments).select("*", "box.*"), 255, F.col("caption")))
+    layers = out[0] if out else one(0, "mask", rectangles(segments).select("*", "box.*").limit(0), 0, none)
+    for x in out[1:]:
+        layers = layers.unionByName(x)
+    return layers
+
+
 def shows_boxes(draw_boxes: Column, draw_label: Column) -> Column:
     """Masks and poses get boxes unless both boxes and labels are off."""
     return draw_boxes | draw_label

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxwright.functions import masks
 from boxwright.functions.geometry import mask_crop
+from boxwright.operators.infer import views
 
 SIDES = ("left", "top", "right", "bottom")
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -21,48 +23,63 @@ def _sides(box: dict | None) -> tuple[float, ...] | None:
     return tuple(box[s] for s in SIDES) if box and all(box[s] is not None for s in SIDES) else None
 
 
-def _with_masks(df: DataFrame, drop: list[str], mask_of) -> DataFrame:
-    """df with mask = mask_of(row as dict), without the columns in drop."""
-    kept = [f for f in df.schema if f.name not in drop]
+Finish = Callable[[DataFrame], DataFrame]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [mask_of(r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, pa.binary())], [*(f.name for f in kept), "mask"])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("mask", T.BinaryType())]))
+def _masked(column: str, mask_of: Callable[[dict, np.ndarray, dict | None], bytes], crop: Callable | None = None, drop: tuple[str, ...] = ()) -> Finish:
+    """A step between decoding and exploding: each of objects gets mask = mask_of(object, the row's column, lb)."""
+
+    def finish(df: DataFrame) -> DataFrame:
+        if crop is not None:
+            df = df.withColumn("objects", F.transform("objects", lambda o: o.withField("__crop", crop(o))))
+        old = df.schema["objects"].dataType.elementType
+        new = T.StructType([*(f for f in old if f.name not in drop), T.StructField("mask", T.BinaryType())])
+        kept = [f for f in df.schema if f.name not in ("objects", column)]
+        schema = T.StructType([*kept, T.StructField("objects", T.ArrayType(new))])
+        arrow = to_arrow_type(schema["objects"].dataType)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for objects, values, lb in zip(batch.column("objects").to_pylist(), views(batch.column(column)), batch.column("lb").to_pylist(), strict=True):
+                    found.append([{**{k: v for k, v in o.items() if k not in drop}, "mask": mask_of(o, values, lb)} for o in objects or []])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, arrow)], [*(f.name for f in kept), "objects"])
+
+        return df.mapInArrow(run, schema)
+
+    finish.column = column
+    return finish
 
 
-def prototype_masks(detections: DataFrame, protos: DataFrame, shape: tuple[int, int, int], model: tuple[int, int], least: float = 0.65) -> DataFrame:
-    """detections (with model_box and weights) with mask; protos: image_id, proto (channels x rows x columns).
+def in_prototypes(column: str, shape: tuple[int, int, int], model: tuple[int, int], least: float = 0.65) -> Finish:
+    """Masks out of prototypes (channels x rows x columns, in a column of the tensors' row) by an object's weights.
 
-    Decode and suppress first: masks are made for survivors alone.
+    All survivors of an image are masked in its row, before they are exploded.
     """
     channels, rows, cols = shape
-    met = detections.drop("data", "lb").join(protos, "image_id").withColumn("__crop", mask_crop(F.col("model_box"), cols, rows, *model))
 
-    def mask_of(r: dict) -> bytes:
-        box, crop = _sides(r["box"]), _sides(r["__crop"])
-        if box is None or crop is None:
+    def mask_of(o: dict, proto: np.ndarray, lb: dict | None) -> bytes:
+        box, crop = _sides(o["box"]), _sides(o["__crop"])
+        if box is None or crop is None or len(proto) < channels * rows * cols:
             return b""
-        proto = np.asarray(r["proto"], np.float32)[: channels * rows * cols]
-        return masks.from_prototypes(proto.reshape(channels, rows, cols), np.asarray(r["weights"], np.float32), crop, int(box[2] - box[0]), int(box[3] - box[1]), least)
+        cells = np.asarray(proto[: channels * rows * cols], np.float32).reshape(channels, rows, cols)
+        return masks.from_prototypes(cells, np.asarray(o["weights"], np.float32), crop, int(box[2] - box[0]), int(box[3] - box[1]), least)
 
-    return _with_masks(met, ["proto", "__crop", "model_box", "weights"], mask_of)
+    return _masked(column, mask_of, lambda o: mask_crop(o["model_box"], cols, rows, *model), ("__crop", "model_box", "weights"))
 
 
-def logit_masks(detections: DataFrame, maps: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """detections with mask; maps: image_id, lb, maps (predictions x rows x columns of logits)."""
+def in_logits(column: str, shape: tuple[int, int, int]) -> Finish:
+    """Masks out of one map of logits for each prediction (predictions x rows x columns, in a column of the tensors' row)."""
     count, rows, cols = shape
 
-    def mask_of(r: dict) -> bytes:
-        box, lb = _sides(r["box"]), r["lb"]
-        if box is None:
+    def mask_of(o: dict, maps: np.ndarray, lb: dict | None) -> bytes:
+        box, at = _sides(o["box"]), o["index"] * rows * cols
+        if box is None or lb is None or len(maps) < at + rows * cols:
             return b""
-        cells = np.asarray(r["maps"], np.float32)[: count * rows * cols].reshape(count, rows, cols)[r["index"]]
+        cells = np.asarray(maps[at : at + rows * cols], np.float32).reshape(rows, cols)
         return masks.from_logits(cells, box, (lb["source_w"], lb["source_h"]), (lb["model_w"], lb["model_h"]), lb["resize_mode"])
 
-    return _with_masks(detections.join(maps, "image_id"), ["maps", "lb"], mask_of)
+    return _masked(column, mask_of)
 
 
 def edge_points(segments: DataFrame, box: str = "box", mask: str = "mask") -> DataFrame:

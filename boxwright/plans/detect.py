@@ -34,7 +34,10 @@ def flat_box(df: DataFrame) -> DataFrame:
 
 def tensors(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     """image_id, data and lb; value(v, i): the tensor's value i from embedding value v."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return as_tensors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), value)
+
+
+def as_tensors(e: DataFrame, value) -> DataFrame:
     lb = g.letterbox(300 + F.col("vec_id") % 7 * 120, 200 + F.col("vec_id") % 5 * 160, MODEL, MODEL)
     return e.select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda v, i: value(v.cast("double"), i)).alias("data"), lb.alias("lb"))
 
@@ -43,6 +46,14 @@ def v8_value(v, i):
     return F.when(i < 16, (v + 0.6) * 600).when(i < 32, (v + 0.6) * 150).otherwise(v)
 
 
+def v10_value(v, i):
+    return F.when(i % 6 < 4, (v + 0.6) * 500).when(i % 6 == 4, v).otherwise((v + 0.6) * 8)
+
+
+def rtdetr_value(v, i):
+    return F.when(i % 8 < 2, v + 0.6).when(i % 8 < 4, (v + 0.6) * 0.4).otherwise(v)
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 LB = f"""t AS (SELECT vec_id AS image_id, embedding AS d, CAST(300 + vec_id % 7 * 120 AS DOUBLE) AS sw, CAST(200 + vec_id % 5 * 160 AS DOUBLE) AS sh FROM embeddings),
@@ -158,8 +169,7 @@ SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY index) - 1 AS
 
 @query(_flat_sql(10, 6, "({0} + 0.6e0) * 500 AS a, ({1} + 0.6e0) * 500 AS b, ({2} + 0.6e0) * 500 AS c, ({3} + 0.6e0) * 500 AS e, {4} AS score, ({5} + 0.6e0) * 8 AS cls", "a|b|c|e", "cls", "0.05e0"))
 def v10_flat(spark, sf_dir):
-    value = lambda v, i: F.when(i % 6 < 4, (v + 0.6) * 500).when(i % 6 == 4, v).otherwise((v + 0.6) * 8)
-    return flat_box(decode.flat(tensors(spark, sf_dir, value), NAMES, 0.05))
+    return flat_box(decode.flat(tensors(spark, sf_dir, v10_value), NAMES, 0.05))
 
 
 @query(_flat_sql(8, 8, "({0} + 0.6e0) * 500 AS a, ({1} + 0.6e0) * 500 AS b, ({2} + 0.6e0) * 150 AS c, ({3} + 0.6e0) * 150 AS e, {4} AS score, ({5} + 0.6e0) * 8 AS cls, {6} * 3 AS angle", "a - c / 2|b - e / 2|a + c / 2|b + e / 2", "cls", "0.05e0", ", angle"))
@@ -192,8 +202,7 @@ c AS (SELECT *, CAST(CASE {' '.join(f'WHEN {_RT[4 + k]} = best THEN {k}' for k i
 SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY i) - 1 AS rank, i AS index, label_index, {name_of('label_index', NAMES[:4])} AS label, best AS confidence,
 {_rt_side('x', 'w', '-', 'xp', 'sw')} AS box_left, {_rt_side('y', 'h', '-', 'yp', 'sh')} AS box_top, {_rt_side('x', 'w', '+', 'xp', 'sw')} AS box_right, {_rt_side('y', 'h', '+', 'yp', 'sh')} AS box_bottom FROM c""")
 def rtdetr_detect(spark, sf_dir):
-    value = lambda v, i: F.when(i % 8 < 2, v + 0.6).when(i % 8 < 4, (v + 0.6) * 0.4).otherwise(v)
-    return flat_box(decode.rtdetr(tensors(spark, sf_dir, value), NAMES[:4], 8, 0.05))
+    return flat_box(decode.rtdetr(tensors(spark, sf_dir, rtdetr_value), NAMES[:4], 8, 0.05))
 
 
 _TOP = f"""{LB}, s AS (SELECT image_id, pair, CAST(1e0 / (1e0 + exp(-(CAST(d[pair + 1] AS DOUBLE) * 4))) AS FLOAT) AS score FROM lb, range(64) q(pair)),
@@ -219,9 +228,12 @@ def rfdetr_detect(spark, sf_dir):
 
 
 def _rfdetr(spark, sf_dir):
+    return decode.rfdetr(_rfdetr_tensors(spark, sf_dir), LOGIT_NAMES, 8, 8, 0.5)
+
+
+def _rfdetr_tensors(spark, sf_dir):
     other = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("image_id"), F.transform(F.slice("embedding", 1, 32), lambda v, i: F.when(i % 4 < 2, v.cast("double") + 0.6).otherwise((v.cast("double") + 0.6) * 0.4)).alias("boxes"))
-    t = tensors(spark, sf_dir, lambda v, i: v * 4).withColumnRenamed("data", "logits").join(other, "image_id")
-    return decode.rfdetr(t, LOGIT_NAMES, 8, 8, 0.5)
+    return tensors(spark, sf_dir, lambda v, i: v * 4).withColumnRenamed("data", "logits").join(other, "image_id")
 
 
 @query(f"""SELECT vec_id AS image_id, rank, CASE WHEN i < 40 THEN 'class_' || CAST(i AS VARCHAR) ELSE CAST(i AS VARCHAR) END AS label, confidence FROM (
@@ -260,6 +272,51 @@ def skeleton_edges(spark, sf_dir):
     return render.skeleton(_poses(spark, sf_dir), 0.55)
 
 
+# ---------------------------------------------------------------- drawing rows and reports of the other tasks, and mixed layouts
+
+
+@query(f"SELECT image_id, rank, label || ' (' || printf('%.1f', confidence * 100) || '%)' AS caption, 10e0 AS caption_x, rank * 20e0 AS caption_y FROM ({ORACLE_SQL['classify_topk']})")
+def draw_classes(spark, sf_dir):
+    return render.text_lines(classify_topk(spark, sf_dir))
+
+
+@query(f"SELECT image_id, 'modelType: Classification' || chr(10) || 'count: ' || CAST(count(*) AS VARCHAR) || chr(10) || string_agg(CAST(rank AS VARCHAR) || '. ' || label || ' confidence=' || printf('%.6f', confidence), chr(10) ORDER BY rank) AS report FROM ({ORACLE_SQL['classify_topk']}) GROUP BY image_id")
+def class_report(spark, sf_dir):
+    return render.class_report(classify_topk(spark, sf_dir))
+
+
+_CORNERS = ", ".join(f"round({_CX} + ({x} - {_CX}) * cos(angle) - ({y} - {_CY}) * sin(angle), 6) AS x{k}, round({_CY} + ({x} - {_CX}) * sin(angle) + ({y} - {_CY}) * cos(angle), 6) AS y{k}" for k, (x, y) in enumerate(_SIDES))
+
+
+@query(f"SELECT image_id, rank, {_CORNERS}, list_extract(['#22c55e', '#3b82f6', '#f97316', '#e11d48', '#8b5cf6', '#14b8a6', '#f59e0b', '#06b6d4'], label_index % 8 + 1) AS colour, label || ' ' || printf('%.1f', confidence * 100) || '%' AS caption FROM ({ORACLE_SQL['v8_obb']}) WHERE box_right > box_left AND box_bottom > box_top")
+def draw_polygons(spark, sf_dir):
+    found = render.polygons(_obb(spark, sf_dir, 0.45))
+    return found.select("image_id", "rank", *(F.round(F.get("corners", F.lit(k))[s], 6).alias(f"{s}{k}") for k in range(4) for s in "xy"), "colour", "caption")
+
+
+@query(f"""SELECT image_id, 'modelType: ObbDetection' || chr(10) || 'count: ' || CAST(count(*) AS VARCHAR) || chr(10) || string_agg(CAST(rank + 1 AS VARCHAR) || '. ' || label || ' confidence=' || printf('%.6f', confidence) || ' angle=' || printf('%.6f', angle) || ' box=[' || printf('%.0f', box_left) || ', ' || printf('%.0f', box_top) || ', ' || printf('%.0f', box_right) || ', ' || printf('%.0f', box_bottom) || ']', chr(10) ORDER BY rank) AS report FROM ({ORACLE_SQL['v8_obb']}) GROUP BY image_id""")
+def oriented_report(spark, sf_dir):
+    return render.report(_obb(spark, sf_dir, 0.45), "ObbDetection", F.format_string("angle=%.6f", F.col("angle")))
+
+
+@query(f"""WITH {_PTS} SELECT image_id, rank, x - 1 AS "left", y - 1 AS top, x + 2 AS "right", y + 2 AS bottom, list_extract(['#22c55e', '#3b82f6', '#f97316', '#e11d48', '#8b5cf6', '#14b8a6', '#f59e0b', '#06b6d4'], image_id % 9 % 8 + 1) AS colour FROM k""")
+def contour_squares(spark, sf_dir):
+    points = F.transform("key_points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return render.mask_edges(_poses(spark, sf_dir).select("image_id", "rank", (F.col("image_id") % 9).alias("label_index"), points.alias("edge_points")), 3)
+
+
+@query(" UNION ALL ".join(f"SELECT image_id, rank, index, label_index, label, confidence, box_left, box_top, box_right, box_bottom FROM ({ORACLE_SQL[n]}) WHERE image_id % 3 = {k}" for k, n in enumerate(("v8_detect_nms", "v10_flat", "rtdetr_detect"))))
+def mixed_decoders(spark, sf_dir):
+    """One table of tensors in three layouts; each row names its decoder."""
+    decoders = {
+        "v8": lambda e: decode.v8(as_tensors(e, v8_value), NAMES[:4], 8, 0.05, 0.45),
+        "v10": lambda e: decode.flat(as_tensors(e, v10_value), NAMES, 0.05),
+        "rtdetr": lambda e: decode.rtdetr(as_tensors(e, rtdetr_value), NAMES[:4], 8, 0.05),
+    }
+    named = F.get(F.array(*map(F.lit, decoders)), (F.col("vec_id") % 3).cast("int"))
+    return flat_box(decode.mixed(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("decoder", named), "decoder", decoders))
+
+
 # ---------------------------------------------------------------- masks, contours and inputs: no SQL, held against brute force in tests
 
 
@@ -267,8 +324,7 @@ def _segments(spark, sf_dir):
     """V8 segments: 8 predictions of 4 + 2 classes + 2 weights, prototypes 2 x 4 x 8 of the next row."""
     t = tensors(spark, sf_dir, lambda v, i: F.when(i < 48, v8_value(v, i)).otherwise(v * 20))
     proto = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("image_id"), F.transform("embedding", lambda v: v * 10).alias("proto"))
-    found = decode.v8(t, NAMES[:2], 8, 0.05, 0.45, "segment", channels=2)
-    return segmentation.prototype_masks(found, proto, (2, 4, 8), (MODEL, MODEL), 0.5)
+    return decode.v8(t.join(proto, "image_id"), NAMES[:2], 8, 0.05, 0.45, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
 
 
 @query()
@@ -286,20 +342,20 @@ def contour_trace(spark, sf_dir):
 def v26_segment(spark, sf_dir):
     value = lambda v, i: F.when(i % 8 < 2, (v + 0.6) * 300).when(i % 8 < 4, (v + 0.6) * 900).when(i % 8 == 4, v).when(i % 8 == 5, (v + 0.6) * 8).otherwise(v * 20)
     proto = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("image_id"), F.transform("embedding", lambda v: v * 10).alias("proto"))
-    found = decode.flat(tensors(spark, sf_dir, value), NAMES, 0.05, 8, "segment", channels=2)
-    return flat_box(segmentation.prototype_masks(found, proto, (2, 4, 8), (MODEL, MODEL), 0.5).withColumn("mask", F.hex("mask")))
+    found = decode.flat(tensors(spark, sf_dir, value).join(proto, "image_id"), NAMES, 0.05, 8, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
+    return flat_box(found.withColumn("mask", F.hex("mask")))
 
 
 @query()
 def rfdetr_segment(spark, sf_dir):
-    maps = tensors(spark, sf_dir, lambda v, i: v).select((F.col("image_id") - 2).alias("image_id"), F.flatten(F.array_repeat("data", 2)).alias("maps"), "lb")
-    found = segmentation.logit_masks(_rfdetr(spark, sf_dir), maps.drop("lb").join(tensors(spark, sf_dir, lambda v, i: v).select("image_id", "lb"), "image_id"), (8, 4, 4))
+    maps = tensors(spark, sf_dir, lambda v, i: v).select((F.col("image_id") - 2).alias("image_id"), F.flatten(F.array_repeat("data", 2)).alias("maps"))
+    found = decode.rfdetr(_rfdetr_tensors(spark, sf_dir).join(maps, "image_id"), LOGIT_NAMES, 8, 8, 0.5, segmentation.in_logits("maps", (8, 4, 4)))
     return flat_box(found.withColumn("mask", F.hex("mask")))
 
 
 @query()
 def mask_pixels(spark, sf_dir):
-    return render.mask_pixels(_segments(spark, sf_dir).filter("rank = 0"))
+    return render.mask_pixels(_segments(spark, sf_dir))
 
 
 @query()

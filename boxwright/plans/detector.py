@@ -51,11 +51,11 @@ class Detector:
         if self.task != task:
             raise ValueError(f"this model does {self.task}, not {task}")
 
-    def _first(self, raw: DataFrame) -> tuple[DataFrame, list[int]]:
+    def _first(self, raw: DataFrame, *more: str) -> tuple[DataFrame, list[int]]:
         name, shape = next(iter(self.outputs.items()))
         if len(shape) < 3:
             raise ValueError(f"unsupported output shape: {shape}")
-        return raw.select("image_id", "lb", F.col(name).alias("data")), shape
+        return raw.select("image_id", "lb", F.col(name).alias("data"), *more), shape
 
     def classify(self, images: DataFrame, k: int = 5) -> DataFrame:
         self._for("Classification")
@@ -73,34 +73,52 @@ class Detector:
         self._for("PoseEstimation")
         return self._boxes(self.raw(images), conf, iou, "pose")
 
-    def _boxes(self, raw: DataFrame, conf: float, iou: float, task: str, channels: int = 0) -> DataFrame:
+    def _boxes(self, raw: DataFrame, conf: float, iou: float, task: str, channels: int = 0, finish=None) -> DataFrame:
         if self.family == "rfdetr":
             shapes = self.outputs
-            return decode.rfdetr(raw.withColumnsRenamed({"dets": "boxes", "labels": "logits"}), self.labels, shapes["dets"][1], shapes["labels"][2], conf)
-        df, shape = self._first(raw)
+            return decode.rfdetr(raw.withColumnsRenamed({"dets": "boxes", "labels": "logits"}), self.labels, shapes["dets"][1], shapes["labels"][2], conf, finish)
+        df, shape = self._first(raw, *([finish.column] if finish else []))
         if self.family == "v8":
             points = decode.v8_key_points(shape[1], self.input[1], len(self.labels)) if task == "pose" else 0
-            return decode.v8(df, self.labels, shape[2], conf, iou, task, points, channels)
+            return decode.v8(df, self.labels, shape[2], conf, iou, task, points, channels, finish)
         if self.family == "rtdetr":
             return decode.rtdetr(df, self.labels, shape[1], conf)
-        return decode.flat(df, self.labels, conf, 6 if task == "detect" else shape[2], task, channels)
+        return decode.flat(df, self.labels, conf, 6 if task == "detect" else shape[2], task, channels, finish)
 
     def segment(self, images: DataFrame, conf: float = 0.2, pixel_conf: float = 0.65, iou: float = 0.7, outlines: bool = False) -> DataFrame:
         self._for("Segmentation")
         raw, names = self.raw(images), [*self.outputs]
         if self.family == "rfdetr":
             shape = self.outputs["masks"]
-            maps = raw.select("image_id", "lb", F.col("masks").alias("maps"))
-            found = segmentation.logit_masks(self._boxes(raw, conf, iou, "detect"), maps, (shape[1], shape[2], shape[3]))
+            found = self._boxes(raw, conf, iou, "detect", finish=segmentation.in_logits("masks", tuple(shape[1:4])))
         else:
             if len(names) < 2 or len(self.outputs[names[1]]) < 4:
                 raise ValueError(f"unsupported segmentation outputs: {self.outputs}")
             _, channels, rows, cols = self.outputs[names[1]]
-            boxes = self._boxes(raw, conf, iou, "segment", channels)
-            found = segmentation.prototype_masks(boxes, raw.select("image_id", F.col(names[1]).alias("proto")), (channels, rows, cols), (self.input[3], self.input[2]), pixel_conf)
+            finish = segmentation.in_prototypes(names[1], (channels, rows, cols), (self.input[3], self.input[2]), pixel_conf)
+            found = self._boxes(raw, conf, iou, "segment", channels, finish)
         return segmentation.edge_points(found) if outlines else found
 
     def run(self, images: DataFrame, **options) -> DataFrame:
         """The rows of whatever task the model is for."""
         name = {"Classification": "classify", "ObjectDetection": "detect", "ObbDetection": "oriented", "Segmentation": "segment", "PoseEstimation": "pose"}[self.task]
         return getattr(self, name)(images, **options)
+
+
+def run_mixed(images: DataFrame, detectors: dict[str, Detector], column: str = "model_id", **options) -> DataFrame:
+    """image_id, model_id, task and the fields of any task, for images that each name one of several models.
+
+    Images are split by model, each part goes through its own model, and the parts are put together; fields
+    that a task lacks are null. An image of a model that is not there raises.
+    """
+    known = [*detectors]
+    named = F.when(F.col(column).isin(known), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("no such model: "), F.coalesce(column, F.lit("null")))))
+    out = None
+    for name, d in detectors.items():
+        taken = {k: v for k, v in options.items() if k in ("conf", "iou") and d.task != "Classification" or k == "k" and d.task == "Classification"}
+        part = d.run(images.withColumn(column, named).filter(F.col(column) == name).drop(column), **taken)
+        part = part.select(F.lit(name).alias("model_id"), F.lit(d.task).alias("task"), *part.columns)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no models")
+    return out

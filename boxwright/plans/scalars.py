@@ -291,9 +291,22 @@ def model_catalogue(spark, sf_dir):
     return catalog.describe(_models(spark, sf_dir)).withColumn("labels", F.array_join("labels", ","))
 
 
-@query("""SELECT p_partkey AS model_id, 'modelType: PoseEstimation' || chr(10) || 'modelVersion: V26' || chr(10) || 'modelDataType: ' || CASE WHEN p_partkey % 3 = 0 THEN 'Float16' ELSE 'Float' END || chr(10) || 'inputShapeSize: ' || CAST(3 * p_size * 32 * p_size * 32 AS VARCHAR) || chr(10) || 'labels: 0:x, 1:y, 2:z' AS report FROM part WHERE p_partkey % 4 = 3""")
+@query("""SELECT p_partkey AS model_id, 'modelType: ' || CASE p_partkey % 4 WHEN 1 THEN 'ObjectDetection' WHEN 3 THEN 'PoseEstimation' ELSE 'Segmentation' END || chr(10) || 'modelVersion: ' || CASE p_partkey % 4 WHEN 0 THEN 'V11' WHEN 3 THEN 'V26' ELSE 'RFDETR' END || chr(10) || 'modelDataType: ' || CASE WHEN p_partkey % 3 = 0 THEN 'Float16' ELSE 'Float' END
+|| chr(10) || 'inputShapeSize: ' || CAST(3 * p_size * 32 * p_size * 32 AS VARCHAR) || chr(10) || 'labels: ' || CASE p_partkey % 4 WHEN 0 THEN '0:a, 1:b' WHEN 3 THEN '0:x, 1:y, 2:z' ELSE '0:background_class' || CASE WHEN p_size % 5 > 0 THEN ', ' || array_to_string(list_transform(range(1, p_size % 5 + 1), lambda i: CAST(i AS VARCHAR) || ':class_' || CAST(i AS VARCHAR)), ', ') ELSE '' END END AS report FROM part""")
 def model_report(spark, sf_dir):
-    return render.model_report(catalog.describe(_models(spark, sf_dir).filter("model_id % 4 = 3")))
+    return render.model_report(catalog.describe(_models(spark, sf_dir)))
+
+
+_WRITTEN = ["#22C55E", "rgba(1, 2, 3, 0.5)", "rgb(4,5)", "fill: rgb(7,8,9)", "red", "#12", "rgb()", "(1,2)"]
+
+
+@query(f"""SELECT event_id, CAST(list_extract([34, 1, 4, 7, 34, 34, 34, 34], k) AS DOUBLE) AS r, CAST(list_extract([197, 2, 5, 8, 197, 197, 197, 197], k) AS DOUBLE) AS g, CAST(list_extract([94, 3, 94, 9, 94, 94, 94, 94], k) AS DOUBLE) AS b, CAST(list_extract([255, 128, 255, 255, 128, 128, 128, 128], k) AS DOUBLE) AS a,
+CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 256 WHEN event_id % 3 = 1 THEN least(floor(least(event_id % 200 / 100e0, 1e0) * 255 + 0.5e0), 255) ELSE 255 END AS BIGINT) AS opacity FROM (SELECT event_id, event_id % 8 + 1 AS k FROM events)""")
+def colour_texts(spark, sf_dir):
+    """Colours written in several ways, and the alpha that a result's share, or its boxes' own, gives."""
+    text, k = F.get(F.array(*map(F.lit, _WRITTEN)), (F.col("event_id") % 8).cast("int")), F.col("event_id") % 3
+    alpha = render.opacity(F.when(k == 1, F.col("event_id") % 200 / 100.0), F.when(k == 0, F.col("event_id") % 256))
+    return table(spark, sf_dir, "events").select("event_id", render.parsed_colour(text).alias("c"), alpha.alias("opacity")).select("event_id", "c.*", "opacity")
 
 
 # ---------------------------------------------------------------- streams in batch form

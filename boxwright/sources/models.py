@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,17 @@ def metadata(model: bytes | None) -> dict[str, str]:
     return out
 
 
+def with_metadata(models: DataFrame) -> DataFrame:
+    """model_id, content and metadata of models (model_id, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(metadata(raw.as_py()).items()) if raw.is_valid else [] for raw in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("model_id"), batch.column("content"), pa.array(found, pa.map_(pa.string(), pa.string()))], ["model_id", "content", "metadata"])
+
+    return models.select("model_id", "content").mapInArrow(run, f"model_id {models.schema['model_id'].dataType.simpleString()}, content binary, metadata map<string,string>")
+
+
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """model_id (its path), content, metadata of model files; a missing path raises."""
-    held = F.udf(lambda raw: metadata(bytes(raw)) if raw is not None else {}, "map<string,string>")
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.col("path").alias("model_id"), "content", held("content").alias("metadata"))
+    return with_metadata(spark.read.format("binaryFile").load(path).select(F.col("path").alias("model_id"), "content"))

@@ -1,5 +1,7 @@
 """Edge cases by hand, properties, and small models end to end."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from boxwright.functions import geometry as g
 from boxwright.functions import labels as lb
 from boxwright.operators import decode, infer, nms, render
-from boxwright.plans.detector import Detector
+from boxwright.plans.detector import Detector, run_mixed
 from boxwright.sources import images, models
 from boxwright.streaming import frames
 from tests.onnx_bytes import block, constant_model
@@ -164,6 +166,36 @@ def test_models_end_to_end(spark):
         Detector(spark, constant_model((1, 3, 8, 8), {"output0": out}, {"task": "obb", "description": "Ultralytics YOLOv10"}))
 
 
+def test_image_files_give_red_first(spark, tmp_path):
+    """A bitmap of two pixels, red and blue."""
+    pixels = bytes([0, 0, 255, 255, 0, 0, 0, 0])  # blue, green, red of each, then padding to four bytes
+    head = b"BM" + struct.pack("<IHHI", 54 + len(pixels), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, len(pixels), 2835, 2835, 0, 0)
+    (tmp_path / "two.bmp").write_bytes(head + pixels)
+    r = infer.preprocess(images.read_images(spark, str(tmp_path)), 2, 1).first()
+    assert list(r.tensor) == [1, 0, 0, 0, 0, 1]
+
+
+def test_mixed_models(spark):
+    out = np.zeros((1, 6, 2), np.float32)
+    out[0, :, 0] = [4, 3, 4, 4, 0.1, 0.9]
+    meta = {"task": "detect", "description": "Ultralytics YOLO11n", "names": "{0: 'cat', 1: 'dog'}"}
+    boxes = Detector(spark, constant_model((1, 3, 8, 8), {"output0": out}, meta))
+    classes = Detector(spark, constant_model((1, 3, 8, 8), {"o": np.array([[0.1, 0.7]], np.float32)}, meta | {"task": "classify"}))
+    named = pictures(spark).withColumn("model_id", F.when(F.col("image_id") == 1, "c").otherwise("b"))
+    rows = run_mixed(named, {"b": boxes, "c": classes}, conf=0.3, k=1).orderBy("image_id").collect()
+    assert [(r.image_id, r.model_id, r.task, r.label, r.box is None) for r in rows] == [(0, "b", "ObjectDetection", "dog", False), (1, "c", "Classification", "dog", True), (2, "b", "ObjectDetection", "dog", False)]
+    with pytest.raises(PySparkException):
+        run_mixed(named, {"b": boxes}).collect()
+
+
+def test_label_texts(spark):
+    texts = {"{0: 'a', 1: \"b\"}": ["a", "b"], "{'3': x, 1: y , bad, 2 y, : z, 4:, 5: ''}": ["y", "x", "'"], "{1: a:b, 1: 'c d'}": ["c d"], "{}": [], "": [], " {7: ' s '} ": [" s "]}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lb.parse_dict(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == texts
+    sizes = {"bold 18px serif": 18.0, "12.5px/1.2 x 3px": 12.5, "px 7px": 7.0, "bold": 14.0, "": 14.0}
+    assert {r.t: r.s for r in spark.createDataFrame([(t,) for t in sizes], "t string").select("t", render.font_size(F.col("t")).alias("s")).collect()} == sizes
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x, y\nz")
     assert images.read_labels(spark, str(tmp_path)).first().labels == ["x", "y", "z"]

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from boxwright.functions import masks
+from boxwright.functions import labels
+from boxwright.operators import render, segmentation
 from boxwright.plans import detect, registry
 
 SF = "/root/testdata/sf0.001"
@@ -138,8 +140,15 @@ def test_segment_queries(spark):
         bits = masks.unpacked(bytes(m), w, h)
         edges = {(b.left + x, b.top + y) for y in range(h) for x in range(w) if bits[y, x] and (x in (0, w - 1) or y in (0, h - 1) or not (bits[y, x - 1] and bits[y, x + 1] and bits[y - 1, x] and bits[y + 1, x]))}
         assert sorted(s for s, _, _ in steps) == list(range(len(edges))) and {(x, y) for _, x, y in steps} == edges
-    drawn = detect.mask_pixels(spark, SF).filter("image_id < 40").groupBy("image_id").count().collect()
-    assert {r.image_id: r["count"] for r in drawn} == {k[0]: n for k, r in seg.items() if k[1] == 0 and (n := int(masks.unpacked(bytes(r.mask), int(r.box.right - r.box.left), int(r.box.bottom - r.box.top)).sum()) if r.mask else 0)}
+    set_pixels = lambda r: int(masks.unpacked(bytes(r.mask), int(r.box.right - r.box.left), int(r.box.bottom - r.box.top)).sum()) if r.mask else 0
+    drawn = detect.mask_pixels(spark, SF).filter("image_id < 40").groupBy("image_id", "rank").count().collect()
+    assert {(r.image_id, r["rank"]): r["count"] for r in drawn} == {k: n for k, r in seg.items() if (n := set_pixels(r))}
+    layers = render.segment_layers(segmentation.edge_points(detect._segments(spark, SF).filter("image_id < 10")))
+    counts = {(r.image_id, r["rank"], r.kind): r["count"] for r in layers.groupBy("image_id", "rank", "kind").count().collect()}
+    for key, r in seg.items():
+        if key[0] < 10:
+            assert counts.get((*key, "mask"), 0) == set_pixels(r) and counts.get((*key, "contour"), 0) == len(by.get(key, []))
+            assert counts.get((*key, "box"), 0) == (r.box.right > r.box.left and r.box.bottom > r.box.top)
 
 
 def test_contours_by_hand():
@@ -151,3 +160,15 @@ def test_contours_by_hand():
     nine = np.zeros(9, bool)
     nine[8] = True
     assert masks.packed(nine) == b"\x00\x01" and masks.unpacked(b"\x00\x01", 3, 3)[2, 2]
+
+
+def test_fixed_values():
+    """What the SQL of some queries takes from the library, written out."""
+    assert render.COLOURS == ["#22c55e", "#3b82f6", "#f97316", "#e11d48", "#8b5cf6", "#14b8a6", "#f59e0b", "#06b6d4"]
+    assert render.SKELETON == [(5, 7), (7, 9), (6, 8), (8, 10), (5, 6), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16), (0, 1), (0, 2), (1, 3), (2, 4)]
+    assert [v for _, v in labels.PREFIXES] == ["V5U", "V8", "V8E", "V9", "V10", "V11", "V11E", "V12", "V26"]
+    assert [p.removeprefix("ultralytics ") for p, _ in labels.PREFIXES] == ["yolov5", "yolov8", "yoloe-v8", "yolov9", "yolov10", "yolo11", "yoloe-11", "yolov12", "yolo26"]
+    every = {"Classification", "ObjectDetection", "ObbDetection", "Segmentation", "PoseEstimation"}
+    assert {v for v, t in labels.SUPPORT.items() if set(t) == every} == {"V8", "V11", "V12", "V26"}
+    assert {v for v, t in labels.SUPPORT.items() if t == ["ObjectDetection"]} == {"V5U", "V9", "V10", "RTDETR", "WORLDV2"}
+    assert {v for v, t in labels.SUPPORT.items() if t == ["Segmentation"]} == {"V8E", "V11E"} and labels.SUPPORT["RFDETR"] == ["ObjectDetection", "Segmentation"] and len(labels.SUPPORT) == 12
