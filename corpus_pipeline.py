@@ -2,12 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
 run() writes each stage's result to the shared folder and reads it again as the next one's docs.
+
+Cases, in every stage: columns of any other name are kept as they are, n_chars (where there is one) follows a
+changed text, and an empty table gives an empty result. Null and empty texts have no words, so quality rules
+reject them; the other stages keep such rows, each as a class, clean, without spans and without ids. Rows with a
+null doc_id take part like others. Equal rows are judged alike; of a class one row stays, the one of the least
+doc_id (null last, ties: any one of them, as they differ in nothing that is compared).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxwright.llm import decontaminate, near_dup, pii, piece_codec, quality
 from boxwright.llm.common import shipped, staged
@@ -15,10 +22,17 @@ from boxwright.llm.common import shipped, staged
 PIECES = "piece_bpe_32k.model"
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs whose n_chars, if any, are those of text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejected documents go."""
+    """Quality rules: rejected documents go, and the failing lines of the others."""
     shipped(spark)
-    return quality.keep_good(docs)
+    return _counted(quality.keep_good(docs))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +49,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data: each span in text becomes its kind."""
     shipped(spark)
-    return pii.redact(docs)
+    return _counted(pii.redact(docs))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
