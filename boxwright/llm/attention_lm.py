@@ -303,63 +303,116 @@ class Scorer:
         return out
 
 
+def _sums_by_class(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of rows (n, width) for each class; keys: the class of each row."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    out[sorted_keys[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
+
+
 def gradients(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the asked positions and its gradient."""
-    x, q, k, v, s, o, h = _heads(p, keys, real)
-    on = np.flatnonzero(asked.ravel())
-    n = max(len(on), 1)
-    group, place = target // EACH, target % EACH
-    ha = h[on]
-    g: dict[str, np.ndarray] = {}
-    l1, d1 = _log_softmax(ha @ p["w1"] + p["b1"], group)
-    d1[np.arange(len(on)), group] -= 1
-    d1 /= n
-    g["w1"], g["b1"] = ha.T @ d1, d1.sum(axis=0)
-    dh_on = d1 @ p["w1"].T
-    g["w2"], g["b2"], l2 = np.zeros_like(p["w2"]), np.zeros_like(p["b2"]), np.zeros(len(on))
+    """Mean loss of the asked positions and its gradient.
+
+    As in Scorer, what depends on a class alone is made once for each class, and so are its gradients: those of
+    positions are first added up by class. Targets are sorted by group, so each group is one product of slices.
+    """
+    if not asked.any():
+        return 0.0, {k: np.zeros_like(x) for k, x in p.items()}
+    scale, own = np.float32(WIDTH**-0.5), keys[:, STEP:]
+    e, vo = p["e"], p["wv"] @ p["wo"]
+    tables = e @ np.concatenate([p["wk"], vo], 1), e @ np.concatenate([p["wq"] * scale, p["wx"]], 1)
+    kv, qx = tables[0].take(keys, 0), tables[1].take(own, 0)
+    k, v, q, x = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qx[:, :, :WIDTH], qx[:, :, WIDTH:]
+    s = q @ k.transpose(0, 2, 1)
+    s += np.where(_CAUSAL, p["near"][np.maximum(_GAP, 0)], np.float32(-1e4))
+    if not real.all():
+        s += np.where(real, np.float32(0), np.float32(-1e4))[:, None, :]
+    s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(axis=2, keepdims=True)
+    h = s @ v
+    h += x
+    h += p["b"]
+    np.tanh(h, out=h)
+
+    # the asked positions, by group of their targets; the last column makes biases weights
+    group = target // EACH
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[c] : cuts[c + 1]]
-        l2[at], d2 = _log_softmax(ha[at] @ p["w2"][c] + p["b2"][c], place[at])
-        d2[np.arange(len(at)), place[at]] -= 1
-        d2 /= n
-        g["w2"][c], g["b2"][c] = ha[at].T @ d2, d2.sum(axis=0)
-        dh_on[at] += d2 @ p["w2"][c].T
-    dh = np.zeros_like(h)
-    dh[on] = dh_on
-    da = dh * (1 - h * h)
-    xq, of = x[:, STEP:].reshape(-1, WIDTH), o.reshape(-1, WIDTH)
-    g["wx"], g["wo"], g["b"] = xq.T @ da, of.T @ da, da.sum(axis=0)
-    do = (da @ p["wo"].T).reshape(o.shape)
-    dv = s.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+    group, place = group[order], (target % EACH)[order]
+    on, rows = np.flatnonzero(asked.ravel())[order], np.arange(len(order))
+    ha = np.ones((len(on), WIDTH + 1), h.dtype)
+    ha[:, :WIDTH] = h.reshape(-1, WIDTH).take(on, 0)
+    w1 = np.concatenate([p["w1"], p["b1"][None]])
+    w2 = np.concatenate([p["w2"], p["b2"][:, None]], 1)
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1))
+    full = [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(np.diff(cuts))]
+    z2 = np.empty((len(on), EACH), h.dtype)
+    for c, i, j in full:
+        np.matmul(ha[i:j], w2[c], out=z2[i:j])
+    l1, d1 = _log_softmax(ha @ w1, group)
+    l2, d2 = _log_softmax(z2, place)
+    n = np.float32(len(on))
+    for d, pick in ((d1, group), (d2, place)):
+        d[rows, pick] -= 1
+        d /= n
+    g1, g2 = ha.T @ d1, np.zeros_like(w2)
+    dh_on = d1 @ p["w1"].T
+    for c, i, j in full:
+        np.matmul(ha[i:j].T, d2[i:j], out=g2[c])
+        dh_on[i:j] += d2[i:j] @ p["w2"][c].T
+    g: dict[str, np.ndarray] = {"w1": g1[:WIDTH], "b1": g1[WIDTH], "w2": g2[:, :WIDTH], "b2": g2[:, WIDTH]}
+
+    # back through the state and the attention
+    da = np.zeros_like(h).reshape(-1, WIDTH)
+    da[on] = dh_on
+    da = da.reshape(h.shape)
+    da *= 1 - h * h
+    dkv, dqx = np.empty_like(kv), np.empty_like(qx)
+    dqx[:, :, WIDTH:] = da
+    np.matmul(s.transpose(0, 2, 1), da, out=dkv[:, :, WIDTH:])
+    ds = da @ v.transpose(0, 2, 1)
+    ds -= (ds * s).sum(axis=2, keepdims=True)
+    ds *= s
+    np.matmul(ds, k, out=dqx[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
     g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), np.where(_CAUSAL, ds.sum(axis=0), 0).ravel(), 2 * STEP).astype(np.float32)
-    scale = np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = x.reshape(-1, WIDTH)
-    dkf, dvf, dqf = dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH), dq.reshape(-1, WIDTH) * scale
-    g["wq"], g["wk"], g["wv"] = xq.T @ dqf, flat.T @ dkf, flat.T @ dvf
-    dx = (dkf @ p["wk"].T + dvf @ p["wv"].T).reshape(x.shape)
-    dx[:, STEP:] += (dqf @ p["wq"].T + da @ p["wx"].T).reshape(q.shape)
-    g["e"] = np.zeros_like(p["e"])
-    np.add.at(g["e"], keys.ravel(), dx.reshape(-1, WIDTH))
-    return float(-(l1 + l2).mean()) if len(on) else 0.0, g
+    t1 = _sums_by_class(keys.ravel(), dkv.reshape(-1, 2 * WIDTH))
+    t2 = _sums_by_class(own.ravel(), dqx.reshape(-1, 2 * WIDTH))
+    g["b"] = t2[:, WIDTH:].sum(axis=0)
+    by_kv, by_qx = e.T @ t1, e.T @ t2
+    g["wk"], g["wq"], g["wx"] = by_kv[:, :WIDTH], by_qx[:, :WIDTH] * scale, by_qx[:, WIDTH:]
+    g["wv"], g["wo"] = by_kv[:, WIDTH:] @ p["wo"].T, p["wv"].T @ by_kv[:, WIDTH:]
+    g["e"] = t1 @ np.concatenate([p["wk"], vo], 1).T + t2 @ np.concatenate([p["wq"] * scale, p["wx"]], 1).T
+    return float(-(l1 + l2).mean()), g
 
 
 class Adam:
+    """Steps on the parameters laid end to end."""
+
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.m, self.v, self.g, self.x = (np.zeros(sum(x.size for x in p.values()), np.float32) for _ in range(4))
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
-        for k, x in self.p.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.02 * (g[k] ** 2 - self.v[k])
-            x -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t))
+        np.concatenate([np.ravel(g[k]) for k in self.p], out=self.g)
+        self.m += np.float32(0.1) * (self.g - self.m)
+        np.square(self.g, out=self.g)
+        self.g -= self.v
+        self.g *= np.float32(0.02)
+        self.v += self.g
+        np.sqrt(self.v, out=self.x)
+        self.x += np.float32(1e-8)
+        np.divide(self.m, self.x, out=self.x)
+        self.x *= rate
+        at = 0
+        for x in self.p.values():
+            x -= self.x[at : at + x.size].reshape(x.shape)
+            at += x.size
 
 
 def _sequences(classes: np.ndarray, end: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
