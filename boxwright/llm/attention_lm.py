@@ -65,6 +65,12 @@ def _held(ids: pa.Array) -> np.ndarray:
 # ---------------------------------------------------------------- words
 
 
+def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.sort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     h, train, every = (np.concatenate(x) for x in zip(*parts, strict=True))
     unique, at = np.unique(h, return_inverse=True)
@@ -79,9 +85,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text"):
             h, before = word_hashes(*text_buffers(lowered(batch.column("text"))))
             train = np.repeat(~_held(batch.column("doc_id")), np.diff(before))
-            unique, at = np.unique(h, return_inverse=True)
-            parts.append((unique, np.bincount(at, train, len(unique)), np.bincount(at, minlength=len(unique))))
-            if len(parts) >= 8:
+            learnt, others = _counted(h[train]), _counted(h[~train])
+            parts += [(*learnt, learnt[1]), (others[0], np.zeros_like(others[1]), others[1])]
+            if len(parts) >= 16:
                 parts = [_merged(parts)]
                 if len(parts[0][0]) > KEEP_WORDS:
                     yield out(parts.pop())
@@ -89,10 +95,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(_merged(parts))
 
 
-def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each hash stands in known (ascending), and whether it does; by the bucket of its leading bits."""
+def _buckets(known: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """By how much a hash is shifted to its leading bits, and where each bucket of these starts in known (ascending)."""
     shift = np.uint64(64 - max(int(len(known)).bit_length(), 1))
-    starts = np.searchsorted(known, np.arange(1 << int(64 - shift), dtype=np.uint64) << shift)
+    return shift, np.searchsorted(known, np.arange(1 << int(64 - shift), dtype=np.uint64) << shift)
+
+
+def _places(known: np.ndarray, h: np.ndarray, buckets: tuple[np.uint64, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands in known (ascending), and whether it does; by the bucket of its leading bits."""
+    shift, starts = buckets or _buckets(known)
     at = starts[h >> shift]
     todo = np.flatnonzero(at < len(known))
     while len(todo):  # a bucket holds few
@@ -106,12 +117,13 @@ def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _words(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray], end: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (h null) with what the head and the end give, and one for each other word."""
     known, counts = head
+    buckets = _buckets(known)
     for whole in batches:
         for batch in slices(whole, "text"):
             h, before = word_hashes(*text_buffers(lowered(batch.column("text"))))
             n, docs = np.diff(before), batch.num_rows
             doc = np.repeat(np.arange(docs), n)
-            at, hit = _places(known, h)
+            at, hit = _places(known, h, buckets)
             c = counts[at[hit]] if len(known) else np.zeros(0)
             logs = np.bincount(doc[hit], np.log10(c + 0.5), docs) + np.log10(end + 0.5)
             seen = np.bincount(doc[hit], c > 0, docs).astype(np.int64) + (end > 0)
@@ -145,9 +157,10 @@ def company(counts: np.ndarray) -> tuple[np.ndarray, int]:
 def followers(met: np.ndarray, column: np.ndarray, wide: int, flat: np.ndarray, lengths: np.ndarray) -> None:
     """Add to met how often an id follows each column, by GAPS, in texts laid end to end."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
+    row, near = flat * wide, column.take(flat)
     for gap in GAPS:
-        on = doc[gap:] == doc[:-gap]
-        np.add.at(met, flat[gap:][on] * wide + column[flat[:-gap][on]], 1)
+        cell = row[gap:] + near[:-gap]
+        np.add.at(met, cell[doc[gap:] == doc[:-gap]], 1)
 
 
 class Classes:
@@ -195,7 +208,10 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
 
 _GAP = (np.arange(STEP)[:, None] + STEP) - np.arange(2 * STEP)[None, :]  # how far key j lies behind query t
 _CAUSAL = _GAP >= 0
-_ONES = np.ones(GROUPS, np.float32)
+_LAGS = np.maximum(_GAP, 0)
+_ONES, _KEYS = np.ones(EACH, np.float32), np.ones(2 * STEP, np.float32)
+#: Exponentials of figures up to this one need no shift, in sums of float32.
+LARGEST = 60.0
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +225,33 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(real, at + start[doc][:, None], 0), real, real[:, STEP:]
 
 
+def _joined(p: dict) -> np.ndarray:
+    """For each group the weights of all groups and of its own classes, side by side; the last row has the biases."""
+    w = np.empty((GROUPS, WIDTH + 1, GROUPS + EACH), p["w1"].dtype)
+    w[:, :WIDTH, :GROUPS], w[:, WIDTH, :GROUPS] = p["w1"], p["b1"]
+    w[:, :WIDTH, GROUPS:], w[:, WIDTH, GROUPS:] = p["w2"], p["b2"]
+    return w
+
+
+def _by_group(asked: np.ndarray, target: np.ndarray, h: np.ndarray, w: np.ndarray):
+    """The asked positions in order of their targets' groups: that order, the positions, their states (with a one for
+    the biases), the groups that occur with their slices, the logits by w, and where those of the targets stand."""
+    group = target // EACH
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    group, on = group.take(order), np.flatnonzero(asked.ravel()).take(order)
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    full = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+    ha = np.ones((len(on), WIDTH + 1), h.dtype)
+    ha[:, :WIDTH] = h.reshape(-1, WIDTH).take(on, 0)
+    z = np.empty((len(on), GROUPS + EACH), h.dtype)
+    for c, i, j in full:
+        np.dot(ha[i:j], w[c], out=z[i:j])
+    at = np.empty((len(on), 2), np.int64)
+    at[:, 0], at[:, 1] = group, target.take(order) % EACH + GROUPS
+    at += np.arange(0, z.size, GROUPS + EACH)[:, None]
+    return order, on, ha, full, z, at.ravel()
+
+
 def _heads(p: dict, keys: np.ndarray, real: np.ndarray):
     """keys: classes (windows, 2 STEP). The attention and the state of each query position."""
     scale = np.float32(WIDTH**-0.5)
@@ -257,162 +300,168 @@ class Scorer:
     Exponentials need no shift, as the tables bound what goes into them; beyond LARGEST they are shifted.
     """
 
-    LARGEST = 60.0
-
     def __init__(self, p: dict):
         self.p = p
-        self.q, self.k, self.v = (p["e"] @ p["wq"]) * np.float32(WIDTH**-0.5), p["e"] @ p["wk"], p["e"] @ (p["wv"] @ p["wo"])
-        self.v = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], 1)  # the last column adds up the weights
-        self.x = p["e"] @ p["wx"] + p["b"]
-        self.near = np.where(_CAUSAL, np.exp(np.minimum(p["near"], self.LARGEST))[np.maximum(_GAP, 0)], 0).astype(np.float32)
-        largest = [np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max(), np.abs(p["near"]).max()]
+        q, k = (p["e"] @ p["wq"]) * np.float32(WIDTH**-0.5), p["e"] @ p["wk"]
+        self.kv = np.concatenate([k, p["e"] @ (p["wv"] @ p["wo"])], 1)
+        self.qx = np.concatenate([q, p["e"] @ p["wx"] + p["b"]], 1)
+        self.w = _joined(p)
+        self.near = np.where(_CAUSAL, np.exp(np.minimum(p["near"], LARGEST))[_LAGS], 0).astype(np.float32)
+        largest = [np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max(), np.abs(p["near"]).max()]
         largest += [(np.abs(p[w]).sum(axis=-2) + np.abs(p[b])).max() for w, b in (("w1", "b1"), ("w2", "b2"))]
-        self.bounded = max(largest[0] + largest[1], *largest[2:]) < self.LARGEST
+        self.bounded = max(largest[0] + largest[1], *largest[2:]) < LARGEST
 
     def __call__(self, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, target: np.ndarray) -> np.ndarray:
         if not self.bounded:
             return log_probabilities(self.p, keys, real, asked, target)
-        p, own = self.p, keys[:, STEP:]
-        s = self.q.take(own, 0) @ self.k.take(keys, 0).transpose(0, 2, 1)
+        kv, qx = self.kv.take(keys, 0), self.qx.take(keys[:, STEP:], 0)
+        s = qx[:, :, :WIDTH] @ kv[:, :, :WIDTH].transpose(0, 2, 1)
         np.exp(s, out=s)
         s *= self.near
-        if not real.all():
-            s *= real[:, None, :]
-        h = s @ self.v.take(keys, 0)
-        h = h[:, :, :WIDTH] / np.maximum(h[:, :, WIDTH:], np.float32(1e-30))
-        h += self.x.take(own, 0)
-        h = h.reshape(-1, WIDTH)
-        h = np.tanh(h if asked.all() else h[asked.ravel()])
-        group = target // EACH
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        h, place, group = h.take(order, 0), (target % EACH)[order], group[order]
-        z = h @ p["w1"] + p["b1"]
-        part = z[np.arange(len(z)), group]
+        some = np.flatnonzero(~real.all(axis=1))
+        s[some] *= real[some, None, :]
+        total = s.reshape(-1, 2 * STEP) @ _KEYS
+        h = s @ kv[:, :, WIDTH:]
+        h *= (1 / np.maximum(total, np.float32(1e-30))).reshape(-1, STEP, 1)
+        h += qx[:, :, WIDTH:]
+        np.tanh(h, out=h)
+        order, _, _, _, z, at = _by_group(asked, target, h, self.w)
+        part = z.ravel().take(at)
         np.exp(z, out=z)
-        total = z @ _ONES
-        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            a, b = cuts[g], cuts[g + 1]
-            if b > a:
-                z = h[a:b] @ p["w2"][g] + p["b2"][g]
-                part[a:b] += z[np.arange(b - a), place[a:b]]
-                np.exp(z, out=z)
-                total[a:b] *= z @ _ONES
-        out = np.empty(len(h))
-        out[order] = part - np.log(total)
+        part -= np.log(z.reshape(-1, EACH) @ _ONES)
+        out = np.empty(len(order))
+        out[order] = part[::2] + part[1::2]
         return out
 
 
 def _sums_by_class(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of rows (n, width) for each class; keys: the class of each row."""
+    """The sum of rows (n, width) for each class; keys: the class of each row. Columns are added two at a time, as complex numbers."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
-    sorted_keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    ordered = keys.take(order)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
-    out[sorted_keys[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    out[ordered[first]] = np.add.reduceat(rows.take(order, 0).view(np.result_type(rows, np.complex64)), first, axis=0).view(rows.dtype)
     return out
 
 
+def _parts(n: int) -> int:
+    """In how many parts n windows are multiplied: products of about a thousand rows or fewer are the fast ones."""
+    return next(k for k in (8, 4, 2, 1) if n % k == 0)
+
+
+def _over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum over windows and positions of the products of the rows of x and y."""
+    k = _parts(len(x))
+    return np.matmul(x.reshape(k, -1, x.shape[-1]).transpose(0, 2, 1), y.reshape(k, -1, y.shape[-1])).sum(axis=0)
+
+
+def _by_rows(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.matmul(y.reshape(_parts(len(y)), -1, y.shape[-1]), w).reshape(*y.shape[:-1], w.shape[1])
+
+
+def _small(x: np.ndarray, more: float = 0.0) -> bool:
+    """Whether x, with more added to it, is within LARGEST of 0."""
+    return max(x.max(), -x.min()) + more < LARGEST
+
+
 def gradients(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the asked positions and its gradient.
 
-    As in Scorer, what depends on a class alone is made once for each class, and so are its gradients: those of
-    positions are first added up by class. Targets are sorted by group, so each group is one product of slices.
+    As in Scorer, what depends on a class alone is made once for each class, and exponentials are shifted only where
+    they need it. Targets are sorted by group, so each group is one product of slices.
     """
     if not asked.any():
         return 0.0, {k: np.zeros_like(x) for k, x in p.items()}
     scale, own = np.float32(WIDTH**-0.5), keys[:, STEP:]
     e, vo = p["e"], p["wv"] @ p["wo"]
-    tables = e @ np.concatenate([p["wk"], vo], 1), e @ np.concatenate([p["wq"] * scale, p["wx"]], 1)
-    kv, qx = tables[0].take(keys, 0), tables[1].take(own, 0)
-    k, v, q, x = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qx[:, :, :WIDTH], qx[:, :, WIDTH:]
+    by_k, by_q = np.concatenate([p["wk"], vo], 1), np.concatenate([p["wq"] * scale, p["wx"]], 1)
+    table = e @ by_q
+    table[:, WIDTH:] += p["b"]
+    kv, qx = (e @ by_k).take(keys, 0), table.take(own, 0)
+    k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qx[:, :, :WIDTH]
     s = q @ k.transpose(0, 2, 1)
-    s += np.where(_CAUSAL, p["near"][np.maximum(_GAP, 0)], np.float32(-1e4))
-    if not real.all():
-        s += np.where(real, np.float32(0), np.float32(-1e4))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+    bounded = _small(s, np.abs(p["near"]).max())
+    s += np.where(_CAUSAL, p["near"][_LAGS], np.float32(-1e4))
+    some = np.flatnonzero(~real.all(axis=1))
+    s[some] += np.where(real[some], np.float32(0), np.float32(-1e4))[:, None, :]
+    if not bounded:
+        s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = s @ v
-    h += x
-    h += p["b"]
+    s *= (1 / (s.reshape(-1, 2 * STEP) @ _KEYS)).reshape(-1, STEP, 1)
+    o = s @ v
+    h = o + qx[:, :, WIDTH:]
     np.tanh(h, out=h)
 
-    # the asked positions, by group of their targets; the last column makes biases weights
-    group = target // EACH
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    group, place = group[order], (target % EACH)[order]
-    on, rows = np.flatnonzero(asked.ravel())[order], np.arange(len(order))
-    ha = np.ones((len(on), WIDTH + 1), h.dtype)
-    ha[:, :WIDTH] = h.reshape(-1, WIDTH).take(on, 0)
-    w1 = np.concatenate([p["w1"], p["b1"][None]])
-    w2 = np.concatenate([p["w2"], p["b2"][:, None]], 1)
-    cuts = np.searchsorted(group, np.arange(GROUPS + 1))
-    full = [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(np.diff(cuts))]
-    z2 = np.empty((len(on), EACH), h.dtype)
+    # softmax over all groups and over the classes of the own one, side by side
+    w = _joined(p)
+    order, on, ha, full, d, at = _by_group(asked, target, h, w)
+    n, both = len(on), d.reshape(-1, EACH)
+    if not _small(d):
+        both -= both.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    both *= (1 / ((both @ _ONES) * np.float32(n)))[:, None]
+    chance = d.ravel().take(at)  # by n
+    d.reshape(-1)[at] = chance - d.dtype.type(1 / n)
+    gw, dh = np.zeros_like(w), np.empty((n, WIDTH), h.dtype)
     for c, i, j in full:
-        np.matmul(ha[i:j], w2[c], out=z2[i:j])
-    l1, d1 = _log_softmax(ha @ w1, group)
-    l2, d2 = _log_softmax(z2, place)
-    n = np.float32(len(on))
-    for d, pick in ((d1, group), (d2, place)):
-        d[rows, pick] -= 1
-        d /= n
-    g1, g2 = ha.T @ d1, np.zeros_like(w2)
-    dh_on = d1 @ p["w1"].T
-    for c, i, j in full:
-        np.matmul(ha[i:j].T, d2[i:j], out=g2[c])
-        dh_on[i:j] += d2[i:j] @ p["w2"][c].T
-    g: dict[str, np.ndarray] = {"w1": g1[:WIDTH], "b1": g1[WIDTH], "w2": g2[:, :WIDTH], "b2": g2[:, WIDTH]}
+        np.dot(ha[i:j].T, d[i:j], out=gw[c])
+        np.dot(d[i:j], w[c, :WIDTH].T, out=dh[i:j])
+    g1 = gw[:, :, :GROUPS].sum(axis=0)
+    g: dict[str, np.ndarray] = {"w1": g1[:WIDTH], "b1": g1[WIDTH], "w2": gw[:, :WIDTH, GROUPS:], "b2": gw[:, WIDTH, GROUPS:]}
 
     # back through the state and the attention
-    da = np.zeros_like(h).reshape(-1, WIDTH)
-    da[on] = dh_on
-    da = da.reshape(h.shape)
-    da *= 1 - h * h
+    da = np.zeros_like(h)
+    da.reshape(-1, WIDTH)[on] = dh
+    np.square(h, out=h)
+    da *= np.subtract(1, h, out=h)
     dkv, dqx = np.empty_like(kv), np.empty_like(qx)
     dqx[:, :, WIDTH:] = da
     np.matmul(s.transpose(0, 2, 1), da, out=dkv[:, :, WIDTH:])
     ds = da @ v.transpose(0, 2, 1)
-    ds -= (ds * s).sum(axis=2, keepdims=True)
+    ds -= np.einsum("ntw,ntw->nt", da, o)[:, :, None]
     ds *= s
     np.matmul(ds, k, out=dqx[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-    g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), np.where(_CAUSAL, ds.sum(axis=0), 0).ravel(), 2 * STEP).astype(np.float32)
-    t1 = _sums_by_class(keys.ravel(), dkv.reshape(-1, 2 * WIDTH))
-    t2 = _sums_by_class(own.ravel(), dqx.reshape(-1, 2 * WIDTH))
-    g["b"] = t2[:, WIDTH:].sum(axis=0)
-    by_kv, by_qx = e.T @ t1, e.T @ t2
+    lags = np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)  # 0 where a key lies ahead
+    g["near"] = np.bincount(_LAGS.ravel(), np.where(_CAUSAL.ravel(), lags, 0), 2 * STEP).astype(np.float32)
+
+    # back to the classes
+    x = e.take(keys, 0)
+    by_kv, by_qx = _over_rows(x, dkv), _over_rows(x[:, STEP:], dqx)
+    g["b"] = np.ones(da.size // WIDTH, da.dtype) @ da.reshape(-1, WIDTH)
     g["wk"], g["wq"], g["wx"] = by_kv[:, :WIDTH], by_qx[:, :WIDTH] * scale, by_qx[:, WIDTH:]
     g["wv"], g["wo"] = by_kv[:, WIDTH:] @ p["wo"].T, p["wv"].T @ by_kv[:, WIDTH:]
-    g["e"] = t1 @ np.concatenate([p["wk"], vo], 1).T + t2 @ np.concatenate([p["wq"] * scale, p["wx"]], 1).T
-    return float(-(l1 + l2).mean()), g
+    dx = _by_rows(dkv, np.ascontiguousarray(by_k.T))
+    dx[:, STEP:] += _by_rows(dqx, np.ascontiguousarray(by_q.T))
+    g["e"] = _sums_by_class(keys.ravel(), dx.reshape(-1, WIDTH))
+    return -float(np.log(chance * np.float32(n)).sum()) / n, g
 
 
 class Adam:
-    """Steps on the parameters laid end to end."""
+    """Steps on the parameters of p, which become parts of one vector. m and v are kept as plain decaying sums."""
 
     def __init__(self, p: dict, rate: float):
-        self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v, self.g, self.x = (np.zeros(sum(x.size for x in p.values()), np.float32) for _ in range(4))
+        self.flat, self.rate, self.t, at = np.concatenate([x.ravel() for x in p.values()]), rate, 0, 0
+        for k, x in p.items():
+            p[k] = self.flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.names, (self.m, self.v) = list(p), np.zeros((2, at), np.float32)
+        self.g, self.x = np.empty((2, at), np.float32)
 
     def step(self, g: dict) -> None:
         self.t += 1
-        rate = np.float32(self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t))
-        np.concatenate([np.ravel(g[k]) for k in self.p], out=self.g)
-        self.m += np.float32(0.1) * (self.g - self.m)
+        rate = np.float32(0.1 * self.rate * np.sqrt((1 - 0.98**self.t) / 0.02) / (1 - 0.9**self.t))
+        np.concatenate([g[k].ravel() for k in self.names], out=self.g)
+        self.m *= np.float32(0.9)
+        self.m += self.g
         np.square(self.g, out=self.g)
-        self.g -= self.v
-        self.g *= np.float32(0.02)
+        self.v *= np.float32(0.98)
         self.v += self.g
         np.sqrt(self.v, out=self.x)
-        self.x += np.float32(1e-8)
+        self.x += np.float32(1e-8 * 0.02**-0.5)
         np.divide(self.m, self.x, out=self.x)
         self.x *= rate
-        at = 0
-        for x in self.p.values():
-            x -= self.x[at : at + x.size].reshape(x.shape)
-            at += x.size
+        self.flat -= self.x
 
 
 def _sequences(classes: np.ndarray, end: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -438,7 +487,8 @@ def _train_windows(classes: np.ndarray, end: int, lengths: np.ndarray, seed: int
     before, target = _sequences(classes, end, lengths)
     at, real, asked = windows(lengths)
     pick = np.random.default_rng(seed).permutation(len(at))
-    return before[at[pick]].astype(np.int64), real[pick], asked[pick], target[at[pick][:, STEP:]].astype(np.int64)
+    at, real = at.take(pick, 0), real.take(pick, 0)
+    return before.astype(np.int64).take(at), real, real[:, STEP:], target.astype(np.int64).take(at[:, STEP:])
 
 
 def packed(p: dict) -> bytes:
@@ -601,7 +651,7 @@ def model_scores(coded: DataFrame, p: dict, classes: Classes, end: int) -> DataF
             for a in range(0, len(at), SCORED):
                 b = slice(a, a + SCORED)
                 where = at[b][:, STEP:][asked[b]]
-                scores[where] = scorer(before[at[b]], real[b], asked[b], target[where])
+                scores[where] = scorer(before.take(at[b]), real[b], asked[b], target.take(where))
             text = np.add.reduceat(scores / np.log(10) + within[flat], np.concatenate([[0], np.cumsum(lengths)])[:-1])
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(text)], ["rid", "score"])
 

@@ -87,6 +87,41 @@ def test_tables_score_as_the_definition():
         assert s(before[at], real, asked, target[where]) == pytest.approx(lm.log_probabilities(p, before[at], real, asked, target[where]), abs=2e-4)
 
 
+def test_tables_score_large_sums():
+    """Two sums of exponentials that fit in a float each, but not their product."""
+    _, before, target, at, real, asked = setting((5, 40, 17))
+    where, p = at[:, lm.STEP :][asked], lm.fresh()
+    p["b1"] += np.float32(50)
+    p["b2"] += np.float32(50)
+    s = lm.Scorer(p)
+    assert s.bounded and s(before[at], real, asked, target[where]) == pytest.approx(lm.log_probabilities(p, before[at], real, asked, target[where]), abs=2e-4)
+
+
+def test_gradients_of_large_weights():
+    """Where exponentials need a shift, in the attention or in the classes."""
+    _, before, target, at, real, asked = setting((5, 40, 1, 16, 300))
+    asks = target[at[:, lm.STEP :]][asked]
+    for names in (("e", "wq", "wk"), ("w1", "w2"), ("near",)):
+        p = {k: x * np.float32(40 if k in names else 1) for k, x in lm.fresh().items()}
+        p["near"] += np.linspace(0, 200 if "near" in names else 1, 2 * lm.STEP, dtype=np.float32)
+        loss, g = lm.gradients(p, before[at], real, asked, asks)
+        want = -lm.log_probabilities(p, before[at], real, asked, asks).mean()
+        assert all(np.isfinite(x).all() for x in g.values())
+        # a class whose chance is 0 in float32 has no finite logarithm
+        assert loss == pytest.approx(want, rel=1e-3) or not math.isfinite(loss)
+
+
+def test_followers():
+    rng = np.random.default_rng(5)
+    n = np.array([3, 1, 40, 9])
+    flat, column = rng.integers(0, 7, n.sum()), np.array([0, 1, 2, 3, 3, 3, 3])
+    met, want = np.zeros(28, np.int64), Counter()
+    lm.followers(met, column, 4, flat, n)
+    for text in np.split(flat, np.cumsum(n)[:-1]):
+        want.update((text[i], column[text[i - g]]) for g in lm.GAPS for i in range(g, len(text)))
+    assert all(met[i * 4 + c] == want[i, c] for i in range(7) for c in range(4))
+
+
 def test_places():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 1000):
