@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.llm.common import least_hashes, lowered, slices, staged, text_buffers, word_hashes
+from boxwright.llm.common import least_hashes, lowered, mix64, slices, staged, text_buffers, word_hashes, word_spans
 from boxwright.llm.token_shards import encoder, vocabulary
 
 HOLD, HELD = 5, 1
@@ -65,6 +65,28 @@ def _held(ids: pa.Array) -> np.ndarray:
 # ---------------------------------------------------------------- words
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
+#: Bytes of a word that are hashed eight at a time; longer words take the hash that costs the same for any length.
+LONG = 64
+
+
+def _hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes: a 64-bit hash of each word, and the number of words before each text."""
+    starts, ends, before = word_spans(raw, at)
+    size = ends - starts
+    # eight bytes from every place on; those behind a word are masked
+    eight = np.lib.stride_tricks.as_strided(np.concatenate([raw, np.zeros(8, np.uint8)])[:8].view("<u8"), (len(raw) + 1,), (1,))
+    out = mix64((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    some = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        left = size[some] - k
+        out[some] = mix64((out[some] + (eight[starts[some] + k] & _MASKS[np.minimum(left, 8)])) * np.uint64(0xD1B54A32D192ED03))
+        some = some[left > 8]
+    if (size > LONG).any():
+        out = np.where(size > LONG, word_hashes(raw, at)[0], out)
+    return out, before
+
+
 def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.sort(h)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -83,7 +105,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], ["h", "train", "total"])
     for whole in batches:
         for batch in slices(whole, "text"):
-            h, before = word_hashes(*text_buffers(lowered(batch.column("text"))))
+            h, before = _hashes(*text_buffers(lowered(batch.column("text"))))
             train = np.repeat(~_held(batch.column("doc_id")), np.diff(before))
             learnt, others = _counted(h[train]), _counted(h[~train])
             parts += [(*learnt, learnt[1]), (others[0], np.zeros_like(others[1]), others[1])]
@@ -120,7 +142,7 @@ def _words(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray
     buckets = _buckets(known)
     for whole in batches:
         for batch in slices(whole, "text"):
-            h, before = word_hashes(*text_buffers(lowered(batch.column("text"))))
+            h, before = _hashes(*text_buffers(lowered(batch.column("text"))))
             n, docs = np.diff(before), batch.num_rows
             doc = np.repeat(np.arange(docs), n)
             at, hit = _places(known, h, buckets)
@@ -418,7 +440,8 @@ def gradients(p: dict, keys: np.ndarray, real: np.ndarray, asked: np.ndarray, ta
     dqx[:, :, WIDTH:] = da
     np.matmul(s.transpose(0, 2, 1), da, out=dkv[:, :, WIDTH:])
     ds = da @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ntw,ntw->nt", da, o)[:, :, None]
+    o *= da
+    ds -= (o.reshape(-1, WIDTH) @ np.ones(WIDTH, o.dtype)).reshape(-1, STEP, 1)
     ds *= s
     np.matmul(ds, k, out=dqx[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
@@ -647,11 +670,13 @@ def model_scores(coded: DataFrame, p: dict, classes: Classes, end: int) -> DataF
             flat, lengths = _with_end(ids, end)
             before, target = _sequences(of[flat].astype(np.int64), int(of[end]), lengths)
             at, real, asked = windows(lengths)
-            scores = np.empty(len(flat))
+            scores, row = np.empty(len(flat)), 0
             for a in range(0, len(at), SCORED):
                 b = slice(a, a + SCORED)
-                where = at[b][:, STEP:][asked[b]]
-                scores[where] = scorer(before.take(at[b]), real[b], asked[b], target.take(where))
+                # the positions asked follow each other
+                stop = row + np.count_nonzero(asked[b])
+                scores[row:stop] = scorer(before.take(at[b]), real[b], asked[b], target[row:stop])
+                row = stop
             text = np.add.reduceat(scores / np.log(10) + within[flat], np.concatenate([[0], np.cumsum(lengths)])[:-1])
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(text)], ["rid", "score"])
 

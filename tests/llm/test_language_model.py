@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,21 @@ def test_followers():
     assert all(met[i * 4 + c] == want[i, c] for i in range(7) for c in range(4))
 
 
+def test_hashes_tell_words_apart_wherever_they_stand():
+    rng = np.random.default_rng(8)
+    some = ["".join(rng.choice(list("ab\0é"), n)) for n in [*range(1, 20), 63, 64, 65, 66, 130, 4000] for _ in range(30)]
+    some += ["a", "a\0", "a" * 8, "a" * 9, "a" * 16, "a" * 64, "a" * 65]
+    lines = [*some, "", " ", " ".join(some), "\n".join(reversed(some)) + " "]
+    h, before = lm._hashes(*lm.text_buffers(pa.array(lines)))
+    got = {}
+    for k, line in enumerate(lines):
+        found = words(line)
+        assert before[k + 1] - before[k] == len(found)
+        for w, x in zip(found, h[before[k] : before[k + 1]].tolist(), strict=True):
+            assert got.setdefault(w, x) == x
+    assert len(set(got.values())) == len(got) == len({w for line in lines for w in words(line)})
+
+
 def test_places():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 1000):
