@@ -536,6 +536,13 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"n": n, "weights": packed({k: x / n for k, x in total.items()})}], schema=_WEIGHTS)
 
 
+def _met_blocks(met: np.ndarray, wide: int) -> dict[int, np.ndarray]:
+    """The rows of the table, dealt by turns to blocks of at most MET_IDS: frequent ids, whose rows are full, are neighbours."""
+    rows = met.reshape(-1, wide)
+    blocks = -(-len(rows) // MET_IDS)
+    return {k: rows[k::blocks] for k in range(blocks)}
+
+
 def _met_rows(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
     """(block, met) of the tables that are not all 0."""
     squeeze, some = zstandard.ZstdCompressor(level=1).compress, {k: x for k, x in tables.items() if x.any()}
@@ -615,14 +622,14 @@ def fit(coded: DataFrame, size: int, end: int) -> tuple[dict, Classes]:
         met = np.zeros(size * wide, np.int64)
         for _, ids in _expanded(batches):
             followers(met, table.value, wide, *_with_end(ids, end))
-        yield _met_rows({k: met[a : a + MET_IDS * wide] for k, a in enumerate(range(0, len(met), MET_IDS * wide))})
+        yield _met_rows(_met_blocks(met, wide))
 
     # the vocabulary by COMPANY + 1 figures, whatever the input's size
     rows = known.select("ids", "n").mapInArrow(meet, "block int, met binary").repartition(-(-size // MET_IDS), "block").mapInArrow(_met_sums, "block int, met binary").collect()
     met = np.zeros(size * wide, np.int64)
+    blocks = _met_blocks(met, wide)
     for x in rows:
-        some = _met_table(bytes(x.met))
-        met[x.block * MET_IDS * wide :][: len(some)] = some
+        blocks[x.block][:] = _met_table(bytes(x.met)).reshape(-1, wide)
     warm = least_hashes(known, ["rid"], WARM_DOCS, ["ids", "n"])
     expand = zstandard.ZstdDecompressor().decompress
     sample = [np.frombuffer(expand(bytes(r.ids)), np.uint16).astype(np.int64) if r.n else np.zeros(0, np.int64) for r in warm]
