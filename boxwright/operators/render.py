@@ -107,15 +107,19 @@ def polylines(points: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def mask_pixels(segments: DataFrame, alpha: int = 64) -> DataFrame:
     """image_id, rank, x, y, r, g, b, a of every set pixel of every mask (binary); empty bytes are passed over."""
-    b = F.col("box")
+    b, k = F.col("box"), F.col("__k")
     width, height = (b["right"] - b["left"]).cast("int"), (b["bottom"] - b["top"]).cast("int")
-    sized = segments.filter((width > 0) & (height > 0) & (F.length("mask") > 0)).withColumn("__width", width).withColumn("__size", width * height)
-    each = sized.withColumn("__at", F.explode(F.sequence(F.lit(0), F.length("mask") - 1)))
-    each = each.withColumn("__byte", F.conv(F.hex(F.substring("mask", F.col("__at") + 1, F.lit(1))), 16, 10).cast("int")).filter("__byte <> 0").drop("mask")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.floor(F.col("__byte") / F.pow(F.lit(2), k)).cast("int") % 2 == 1) & (F.col("__at") * 8 + k < F.col("__size")))
-    on = each.withColumn("__bit", F.explode(bits)).withColumn("__pixel", F.col("__at") * 8 + F.col("__bit"))
+    sized = segments.filter((width > 0) & (height > 0) & (F.length("mask") > 0))
     c = channels(colour(F.col("label_index")), F.lit(alpha))
-    return on.select("image_id", "rank", (b["left"] + F.col("__pixel") % F.col("__width")).alias("x"), (b["top"] + F.floor(F.col("__pixel") / F.col("__width"))).alias("y"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(alpha).alias("a"))
+    sized = sized.select("image_id", "rank", b["left"].alias("__left"), b["top"].alias("__top"), width.alias("__width"), (width * height).alias("__size"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), "mask")
+    # eight bytes at a time as a long, the first byte highest; pixel k of a word is bit 56 - k + 2 * (k % 8) of it
+    each = sized.withColumn("__at", F.explode(F.sequence(F.lit(0), F.length("mask") - 1, F.lit(8))))
+    word = F.conv(F.rpad(F.hex(F.substring("mask", F.col("__at") + 1, F.lit(8))), 16, "0"), 16, -10).cast("long")
+    each = each.withColumn("__word", word).drop("mask").filter("__word <> 0")
+    on = each.withColumn("__k", F.explode(F.array(*map(F.lit, range(64))))).filter(F.getbit("__word", 56 - k + k % 8 * 2) == 1)
+    on = on.withColumn("__pixel", F.col("__at") * 8 + k).filter("__pixel < __size")
+    row = F.expr("__pixel div __width")
+    return on.select("image_id", "rank", (F.col("__left") + F.col("__pixel") % F.col("__width")).alias("x"), (F.col("__top") + row).alias("y"), "r", "g", "b", F.lit(alpha).alias("a"))
 
 
 def mask_edges(segments: DataFrame, thickness: int = 2) -> DataFrame:

@@ -42,6 +42,13 @@ def as_tensors(e: DataFrame, value) -> DataFrame:
     return e.select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda v, i: value(v.cast("double"), i)).alias("data"), lb.alias("lb"))
 
 
+def beside(t: DataFrame, other: DataFrame) -> DataFrame:
+    """t joined with other on image_id, dealt by it: few bytes of tensors become many of masks and pixels, so tasks are not to be merged by size."""
+    spark = t.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return t.repartition(n, "image_id").join(other.repartition(n, "image_id"), "image_id")
+
+
 def v8_value(v, i):
     return F.when(i < 16, (v + 0.6) * 600).when(i < 32, (v + 0.6) * 150).otherwise(v)
 
@@ -324,7 +331,7 @@ def _segments(spark, sf_dir):
     """V8 segments: 8 predictions of 4 + 2 classes + 2 weights, prototypes 2 x 4 x 8 of the next row."""
     t = tensors(spark, sf_dir, lambda v, i: F.when(i < 48, v8_value(v, i)).otherwise(v * 20))
     proto = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("image_id"), F.transform("embedding", lambda v: v * 10).alias("proto"))
-    return decode.v8(t.join(proto, "image_id"), NAMES[:2], 8, 0.05, 0.45, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
+    return decode.v8(beside(t, proto), NAMES[:2], 8, 0.05, 0.45, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
 
 
 @query()
@@ -342,14 +349,14 @@ def contour_trace(spark, sf_dir):
 def v26_segment(spark, sf_dir):
     value = lambda v, i: F.when(i % 8 < 2, (v + 0.6) * 300).when(i % 8 < 4, (v + 0.6) * 900).when(i % 8 == 4, v).when(i % 8 == 5, (v + 0.6) * 8).otherwise(v * 20)
     proto = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("image_id"), F.transform("embedding", lambda v: v * 10).alias("proto"))
-    found = decode.flat(tensors(spark, sf_dir, value).join(proto, "image_id"), NAMES, 0.05, 8, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
+    found = decode.flat(beside(tensors(spark, sf_dir, value), proto), NAMES, 0.05, 8, "segment", channels=2, finish=segmentation.in_prototypes("proto", (2, 4, 8), (MODEL, MODEL), 0.5))
     return flat_box(found.withColumn("mask", F.hex("mask")))
 
 
 @query()
 def rfdetr_segment(spark, sf_dir):
     maps = tensors(spark, sf_dir, lambda v, i: v).select((F.col("image_id") - 2).alias("image_id"), F.flatten(F.array_repeat("data", 2)).alias("maps"))
-    found = decode.rfdetr(_rfdetr_tensors(spark, sf_dir).join(maps, "image_id"), LOGIT_NAMES, 8, 8, 0.5, segmentation.in_logits("maps", (8, 4, 4)))
+    found = decode.rfdetr(beside(_rfdetr_tensors(spark, sf_dir), maps), LOGIT_NAMES, 8, 8, 0.5, segmentation.in_logits("maps", (8, 4, 4)))
     return flat_box(found.withColumn("mask", F.hex("mask")))
 
 

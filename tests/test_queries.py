@@ -151,6 +151,24 @@ def test_segment_queries(spark):
             assert counts.get((*key, "box"), 0) == (r.box.right > r.box.left and r.box.bottom > r.box.top)
 
 
+def test_segment_queries_use_many_tasks(spark):
+    """A table of one small file gives many pixels, which are not left to one task."""
+    for name in ("mask_pixels", "v8_segment", "v26_segment", "rfdetr_segment"):
+        assert detect.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 8
+
+
+def test_mask_pixels_by_hand(spark):
+    """Masks of under one byte to several words, with set bits beyond the box, which are no pixels."""
+    rng = np.random.default_rng(6)
+    sizes = [(1, 1), (3, 2), (8, 8), (13, 5), (64, 1), (5, 26), (40, 33)]
+    rows = [(i, 0, i, (float(i), 7.0, float(i + w), 7.0 + h), bytearray(rng.integers(0, 256, -(-w * h // 8)).astype(np.uint8).tobytes())) for i, (w, h) in enumerate(sizes)]
+    rows += [(90, 0, 0, (0.0, 0.0, 9.0, 9.0), bytearray(11)), (91, 0, 0, (0.0, 0.0, 0.0, 9.0), bytearray(b"\xff")), (92, 0, 0, (0.0, 0.0, 9.0, 9.0), bytearray())]
+    df = spark.createDataFrame(rows, "image_id long, rank long, label_index long, box struct<left: double, top: double, right: double, bottom: double>, mask binary")
+    got = [tuple(r) for r in render.mask_pixels(df).select("image_id", "x", "y", "r", "a").collect()]
+    want = [(i, float(i + x), 7.0 + y, int(render.COLOURS[i % 8][1:3], 16), 64) for i, (w, h) in enumerate(sizes) for y in range(h) for x in range(w) if rows[i][4][(y * w + x) // 8] >> (y * w + x) % 8 & 1]
+    assert sorted(got) == sorted(want) and len(got) > 100
+
+
 def test_contours_by_hand():
     full = np.ones((3, 3), bool)
     edges = masks.edge_pixels(full)
