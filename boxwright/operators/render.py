@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,32 @@ def opacity(result: Column, boxes: Column) -> Column:
     return F.coalesce(g.half_up(g.clamp(result, 0.0, 1.0) * 255), boxes, F.lit(255)).cast("long")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """value as C's printf writes it with digits decimals: the nearest to the exact value, of two equally near the even one; 'null' for null.
+
+    Java's formatter rounds the shortest decimal text of a double instead, and halves away from 0.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    minus = F.when((v < 0) | (v == 0) & v.cast("string").startswith("-"), "-").otherwise("")
+    if digits:
+        floor = F.floor(size)
+        part, scale = size - floor, 10.0**digits
+        # the product, and what rounding left out of it: exact, as high has the upper 26 bits of part
+        p = part * scale
+        split = part * 134217729.0
+        high = split - (split - part)
+        off = (high * scale - p) + (part - high) * scale
+        n = F.when((p - F.floor(p) != 0.5) | (off == 0), F.rint(p)).otherwise(F.floor(p) + (off > 0).cast("int"))
+        text = (floor.cast("decimal(19,0)") + n.cast(f"decimal({digits + 1},0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    else:
+        text = F.rint(size).cast("long").cast("string")
+    text = F.when(size == float("inf"), "inf").when(size < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", size))
+    return F.when(v.isNull(), "null").when(F.isnan(v), "nan").otherwise(F.concat(minus, text))
+
+
 def percent(confidence: Column) -> Column:
-    return F.format_string("%.1f%%", confidence * 100)
+    return F.concat(fixed(confidence * 100, 1), F.lit("%"))
 
 
 def caption(name: Column, confidence: Column, bracketed: bool = False) -> Column:
@@ -166,7 +192,7 @@ def report(detections: DataFrame, task: str, detail: Column | None = None) -> Da
 
 
 def class_report(classes: DataFrame) -> DataFrame:
-    line = classes.select("image_id", "rank", F.format_string("%d. %s confidence=%.6f", F.col("rank"), F.col("label"), F.col("confidence")).alias("line"))
+    line = classes.select("image_id", "rank", F.concat(F.format_string("%d. %s confidence=", F.col("rank"), F.col("label")), fixed(F.col("confidence"), 6)).alias("line"))
     lines = line.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("l"))
     return lines.select("image_id", F.concat_ws("\n", F.lit("modelType: Classification"), F.concat(F.lit("count: "), F.size("l")), F.transform("l", lambda x: x["line"])).alias("report"))
 

@@ -4,7 +4,10 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from boxwright.functions import masks
 from boxwright.functions import labels
@@ -35,6 +38,34 @@ def test_query_equals_sql(spark, duck, name):
     assert got and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+#: Halfway between two decimals of six digits, where the next even one is written, or next to it.
+HALVES = [k / 128 + off for k in range(-39, 40) for off in (0, 2**-30, -(2**-30))]
+
+
+def halves(tmp_path, name):
+    """Rows of a query, and of its SQL, over embeddings of such values."""
+    rng = np.random.default_rng(8)
+    values = pa.array([rng.choice(HALVES, 64).tolist() for _ in range(200)], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(range(200), pa.int64()), "embedding": values}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    return con.execute(f"SELECT image_id, report FROM ({registry.ORACLE_SQL[name]}) ORDER BY image_id").fetchall()
+
+
+def test_class_report_of_halves(spark, tmp_path):
+    want = halves(tmp_path, "class_report")
+    assert [tuple(r) for r in registry.QUERIES["class_report"](spark, str(tmp_path)).select("image_id", "report").orderBy("image_id").collect()] == want
+
+
+def test_decimals_as_printf_writes_them(spark):
+    values = [*HALVES, *(3 * v for v in HALVES), 0.0, -0.0, -1e-9, 5e-324, 0.25, 0.35, 0.9999995, 0.9999994999, 9.95, 99.95, 0.5, 1.5, -2.5, 1e9 + 0.5, 2.0**51 + 0.5, math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 6):
+        got = [r.t for r in df.select(render.fixed(df.v, digits).alias("t")).collect()]
+        assert got == [f"%.{digits}f" % v for v in values]
+    assert spark.range(1).select(render.fixed(F.lit(None), 6).alias("t")).first().t == "null"
+
+
 def golden_mask(proto, weights, crop, width, height, least):
     """One pixel at a time."""
     if width <= 0 or height <= 0:
