@@ -182,8 +182,8 @@ def shows_boxes(draw_boxes: Column, draw_label: Column) -> Column:
 
 def report(detections: DataFrame, task: str, detail: Column | None = None) -> DataFrame:
     """image_id, report: one text for each image; detail: what stands between confidence and box."""
-    side = lambda s: F.format_string("%.0f", F.col(f"box.{s}"))
-    parts = [F.concat((F.col("rank") + 1).cast("string"), F.lit(". "), F.col("label")), F.format_string("confidence=%.6f", F.col("confidence"))]
+    side = lambda s: fixed(F.col(f"box.{s}"), 0)
+    parts = [F.concat((F.col("rank") + 1).cast("string"), F.lit(". "), F.col("label")), F.concat(F.lit("confidence="), fixed(F.col("confidence"), 6))]
     parts += [detail] if detail is not None else []
     parts.append(F.concat(F.lit("box=["), F.concat_ws(", ", *map(side, ("left", "top", "right", "bottom"))), F.lit("]")))
     line = detections.select("image_id", "rank", F.concat_ws(" ", *parts).alias("line"))

@@ -303,7 +303,7 @@ def draw_polygons(spark, sf_dir):
 
 @query(f"""SELECT image_id, 'modelType: ObbDetection' || chr(10) || 'count: ' || CAST(count(*) AS VARCHAR) || chr(10) || string_agg(CAST(rank + 1 AS VARCHAR) || '. ' || label || ' confidence=' || printf('%.6f', confidence) || ' angle=' || printf('%.6f', angle) || ' box=[' || printf('%.0f', box_left) || ', ' || printf('%.0f', box_top) || ', ' || printf('%.0f', box_right) || ', ' || printf('%.0f', box_bottom) || ']', chr(10) ORDER BY rank) AS report FROM ({ORACLE_SQL['v8_obb']}) GROUP BY image_id""")
 def oriented_report(spark, sf_dir):
-    return render.report(_obb(spark, sf_dir, 0.45), "ObbDetection", F.format_string("angle=%.6f", F.col("angle")))
+    return render.report(_obb(spark, sf_dir, 0.45), "ObbDetection", F.concat(F.lit("angle="), render.fixed(F.col("angle"), 6)))
 
 
 @query(f"""WITH {_PTS} SELECT image_id, rank, x - 1 AS "left", y - 1 AS top, x + 2 AS "right", y + 2 AS bottom, list_extract(['#22c55e', '#3b82f6', '#f97316', '#e11d48', '#8b5cf6', '#14b8a6', '#f59e0b', '#06b6d4'], image_id % 9 % 8 + 1) AS colour FROM k""")

@@ -57,6 +57,12 @@ def test_class_report_of_halves(spark, tmp_path):
     assert [tuple(r) for r in registry.QUERIES["class_report"](spark, str(tmp_path)).select("image_id", "report").orderBy("image_id").collect()] == want
 
 
+@pytest.mark.parametrize("name", ["oriented_report", "detection_report"])
+def test_detection_reports_of_halves(spark, tmp_path, name):
+    want = halves(tmp_path, name)
+    assert [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select("image_id", "report").orderBy("image_id").collect()] == want
+
+
 def test_decimals_as_printf_writes_them(spark):
     values = [*HALVES, *(3 * v for v in HALVES), 0.0, -0.0, -1e-9, 5e-324, 0.25, 0.35, 0.9999995, 0.9999994999, 9.95, 99.95, 0.5, 1.5, -2.5, 1e9 + 0.5, 2.0**51 + 0.5, math.inf, -math.inf, math.nan]
     df = spark.createDataFrame([(v,) for v in values], "v double")
