@@ -25,6 +25,37 @@ def _sides(box: dict | None) -> tuple[float, ...] | None:
 
 Finish = Callable[[DataFrame], DataFrame]
 
+#: Rows of a batch that become Python objects at once; bytes of results after which a batch is passed on, and of input batches.
+ROWS, BYTES = 256, 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session sends Arrow batches of at most BYTES, unless it has a smaller bound."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BYTES:
+        spark.conf.set(name, str(BYTES))
+    return df
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _passed_on(results: Iterator[tuple[list, int]], give: Callable[[int, list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """give(first row, results) of results (with their bytes) by row, as soon as they hold BYTES."""
+    found, held, first = [], 0, 0
+    for result, size in results:
+        found.append(result)
+        held += size
+        if held >= BYTES:
+            yield give(first, found)
+            found, held, first = [], 0, first + len(found)
+    if found:
+        yield give(first, found)
+
 
 def _masked(column: str, mask_of: Callable[[dict, np.ndarray, dict | None], bytes], crop: Callable | None = None, drop: tuple[str, ...] = ()) -> Finish:
     """A step between decoding and exploding: each of objects gets mask = mask_of(object, the row's column, lb)."""
@@ -39,13 +70,20 @@ def _masked(column: str, mask_of: Callable[[dict, np.ndarray, dict | None], byte
         arrow = to_arrow_type(schema["objects"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for objects, values, lb in zip(batch.column("objects").to_pylist(), views(batch.column(column)), batch.column("lb").to_pylist(), strict=True):
-                    found.append([{**{k: v for k, v in o.items() if k not in drop}, "mask": mask_of(o, values, lb)} for o in objects or []])
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, arrow)], [*(f.name for f in kept), "objects"])
+            for part in _parts(batches):
+
+                def masked(part: pa.RecordBatch = part) -> Iterator[tuple[list, int]]:
+                    for objects, values, lb in zip(part.column("objects").to_pylist(), views(part.column(column)), part.column("lb").to_pylist(), strict=True):
+                        done = [{**{k: v for k, v in o.items() if k not in drop}, "mask": mask_of(o, values, lb)} for o in objects or []]
+                        yield done, sum(len(o["mask"]) for o in done)
+
+                def give(first: int, found: list, part: pa.RecordBatch = part) -> pa.RecordBatch:
+                    own = part.slice(first, len(found))
+                    return pa.RecordBatch.from_arrays([*(own.column(f.name) for f in kept), pa.array(found, arrow)], [*(f.name for f in kept), "objects"])
+
+                yield from _passed_on(masked(), give)
 
-        return df.mapInArrow(run, schema)
+        return bounded(df).mapInArrow(run, schema)
 
     finish.column = column
     return finish

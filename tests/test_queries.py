@@ -206,6 +206,32 @@ def test_mask_pixels_by_hand(spark):
     assert sorted(got) == sorted(want) and len(got) > 100
 
 
+class Step:
+    """In place of DataFrame.mapInArrow: keeps the step's function."""
+
+    def __init__(self, spark, monkeypatch):
+        monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, schema: setattr(self, "run", run) or df)
+
+    def sizes(self, df):
+        """Rows, and bytes of each batch that the step makes of all of df in one batch."""
+        batches = list(self.run(iter(df.toArrow().combine_chunks().to_batches())))
+        return pa.Table.from_batches(batches).to_pylist(), [b.get_total_buffer_size() for b in batches]
+
+
+def test_masks_leave_in_small_batches(spark, monkeypatch):
+    """400 images with a mask of 125 KB each in one batch: never all of them at once."""
+    box = "named_struct('left', 0D, 'top', 0D, 'right', 1000D, 'bottom', 1000D)"
+    df = spark.range(400).selectExpr("id AS image_id", "named_struct('source_w', 1000) AS lb", "array(float(id % 2 * 9 - 4)) AS proto", f"IF(id % 100 = 7, NULL, array(named_struct('index', id, 'box', {box}, 'model_box', {box}, 'weights', array(1D)))) AS objects")
+    step = Step(spark, monkeypatch)
+    made = segmentation.in_prototypes("proto", (1, 1, 1), (1000, 1000), 0.5)
+    made(df)
+    rows, sizes = step.sizes(df.withColumn("objects", F.transform("objects", lambda o: o.withField("__crop", o["box"]))))
+    assert [r["image_id"] for r in rows] == list(range(400))
+    assert all(r["objects"] == [] if r["image_id"] % 100 == 7 else [(o["index"], set(o["mask"]), len(o["mask"])) for o in r["objects"]] == [(r["image_id"], {255 * (r["image_id"] % 2)}, 125000)] for r in rows)
+    assert max(sizes) < 2 * segmentation.BYTES < 400 * 125000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= segmentation.BYTES
+
+
 def test_contours_by_hand():
     full = np.ones((3, 3), bool)
     edges = masks.edge_pixels(full)
