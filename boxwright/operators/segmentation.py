@@ -124,15 +124,25 @@ def edge_points(segments: DataFrame, box: str = "box", mask: str = "mask") -> Da
     """segments with edge_points: the contour pixels of the mask in walking order; empty for an empty mask or box."""
     schema = T.StructType([*segments.schema, T.StructField("edge_points", POINTS)])
 
+    kind = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        for batch in batches:
-            found = []
-            for b, m in zip(batch.column(box).to_pylist(), batch.column(mask).to_pylist(), strict=True):
-                sides = _sides(b)
-                w, h = (int(sides[2] - sides[0]), int(sides[3] - sides[1])) if sides else (0, 0)
-                walk = masks.contour(masks.edge_pixels(masks.unpacked(m, w, h)), w, sides[0], sides[1]) if m and w > 0 and h > 0 else []
-                found.append([{"x": float(x), "y": float(y)} for x, y in walk])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "edge_points"])
-
-    return segments.mapInArrow(run, schema)
+        for part in _parts(batches):
+
+            def walks(part: pa.RecordBatch = part) -> Iterator[tuple[np.ndarray, int]]:
+                for b, m in zip(part.column(box).to_pylist(), part.column(mask), strict=True):
+                    sides, m = _sides(b), m.as_py()
+                    w, h = (int(sides[2] - sides[0]), int(sides[3] - sides[1])) if sides else (0, 0)
+                    walk = masks.contour(masks.edge_pixels(masks.unpacked(m, w, h)), w, sides[0], sides[1]) if m and w > 0 and h > 0 else []
+                    found = np.asarray(walk, np.float64).reshape(-1, 2)
+                    yield found, found.nbytes
+
+            def give(first: int, found: list, part: pa.RecordBatch = part) -> pa.RecordBatch:
+                own, every = part.slice(first, len(found)), np.concatenate(found)
+                ends = np.cumsum([0, *map(len, found)])
+                points = pa.StructArray.from_arrays([pa.array(every[:, k]) for k in (0, 1)], fields=list(kind))
+                return pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points)], [*own.schema.names, "edge_points"])
+
+            yield from _passed_on(walks(), give)
+
+    return bounded(segments).mapInArrow(run, schema)

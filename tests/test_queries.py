@@ -232,6 +232,19 @@ def test_masks_leave_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= segmentation.BYTES
 
 
+def test_contours_leave_in_small_batches(spark, monkeypatch):
+    """300 masks with 4,000 separate points each in one batch."""
+    box = "named_struct('left', 5D, 'top', 6D, 'right', 165D, 'bottom', 106D)"
+    df = spark.range(300).selectExpr("id AS image_id", f"{box} AS box", "IF(id % 100 = 7, NULL, unhex(repeat(repeat('55', 20) || repeat('00', 20), 50))) AS mask")
+    step = Step(spark, monkeypatch)
+    segmentation.edge_points(df)
+    rows, sizes = step.sizes(df)
+    points = [(5.0 + x, 6.0 + y) for y in range(0, 100, 2) for x in range(0, 160, 2)]
+    assert [r["image_id"] for r in rows] == list(range(300))
+    assert all([(p["x"], p["y"]) for p in r["edge_points"]] == ([] if r["image_id"] % 100 == 7 else points) for r in rows)
+    assert len(points) == 4000 and max(sizes) < 2 * segmentation.BYTES < 300 * 4000 * 16
+
+
 def test_contours_by_hand():
     full = np.ones((3, 3), bool)
     edges = masks.edge_pixels(full)
